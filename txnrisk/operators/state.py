@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txnrisk.functions import features as fx
+from txnrisk.session import cut_lineage
 
 # --- fixed values ---------------------------------------------------------------
 CATEGORICAL = ["merchant_category", "location", "transaction_type", "device_type",
@@ -147,6 +148,35 @@ def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.select(F.inline(pairs))
 
 
+def fit_median_and_scaler(df: DataFrame, cols: Sequence[str], exact: bool | None = None):
+    """Medians and the mean / population std of the median-imputed columns,
+    from one aggregate: with ``k`` of ``n`` values present and median ``m``,
+    the imputed column has sum ``s + (n-k) m`` and square sum ``q + (n-k) m^2``.
+    """
+    pct = ((lambda x: F.percentile(x, 0.5)) if _exact_ok(df, exact)
+           else (lambda x: F.percentile_approx(x, 0.5, APPROX_ACCURACY).cast("double")))
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [pct(x).alias(f"m{i}"), F.count(x).alias(f"k{i}"), F.sum(x).alias(f"s{i}"),
+                 F.sum(x * x).alias(f"q{i}")]
+    r = df.agg(*aggs).first()
+    n = r["_n"]
+    med, sc = {}, {}
+    for i, c in enumerate(cols):
+        m = r[f"m{i}"]
+        fill = m if m is not None else 0.0
+        k, s_, q = r[f"k{i}"], r[f"s{i}"] or 0.0, r[f"q{i}"] or 0.0
+        med[c] = m
+        if n:
+            mean = (s_ + (n - k) * fill) / n
+            var = max(0.0, (q + (n - k) * fill * fill) / n - mean * mean)
+            sc[c] = (mean, var ** 0.5)
+        else:
+            sc[c] = (0.0, 0.0)
+    return med, sc
+
+
 def impute(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
     """Stored medians first, then 0 for what is still missing."""
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m), F.lit(0.0))
@@ -195,16 +225,15 @@ class Preprocessor:
 
     @classmethod
     def fit(cls, df: DataFrame, exact_medians: bool | None = None) -> Preprocessor:
+        """Two passes over the training rows: the vocabulary (materialised --
+        it is small fitted state, joined five times later), then one aggregate
+        with every median and the moments the scaler needs."""
         feats = fx.derive_features(df)
-        vocab = fit_vocabulary(feats)
+        vocab = cut_lineage(fit_vocabulary(feats))
         info = vocabulary_info(vocab)
         enc = encode(feats, vocab, info=info)
         cols = cls.select_features(enc)
-        med = {r["feature"]: r["median_value"]
-               for r in fit_medians(enc, cols, exact_medians).collect()}
-        filled = impute(enc, med)
-        sc = {r["feature"]: (r["mean_value"], r["std_pop"])
-              for r in fit_scaler(filled, cols).collect()}
+        med, sc = fit_median_and_scaler(enc, cols, exact_medians)
         return cls(vocab=vocab, vocab_info=info, medians=med, scaler=sc, feature_columns=cols)
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ("transaction_id",)) -> DataFrame:
@@ -215,6 +244,7 @@ class Preprocessor:
             raise ValueError(f"missing feature columns: {missing}")
         out = scale(impute(enc, self.medians), self.scaler)
         label = [F.col("is_fraud").alias("label")] if "is_fraud" in df.columns else []
+        keep = [k for k in keep if k not in self.feature_columns]   # features come scaled
         return out.select(*keep, *label, *self.feature_columns)
 
     # persistence: the vocabulary as Parquet, the numbers as one JSON document

@@ -56,7 +56,12 @@ def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def base_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events LEFT JOIN customer, mapped to transaction columns (no label)."""
-    e = read_table(spark, sf_dir, "events")
+    return events_to_txn(read_table(spark, sf_dir, "events"), customer_profile(spark, sf_dir))
+
+
+def events_to_txn(e: DataFrame, profile: DataFrame) -> DataFrame:
+    """Map event rows to transaction columns and join the customer profile.
+    Works on a static or a streaming ``e`` (stream-static join)."""
     eid = F.col("event_id")
     merchant = F.element_at(F.array(*[F.lit(m) for m in MERCHANT_BY_CODE]),
                             (F.floor(eid / 10) % len(MERCHANT_BY_CODE)).cast("int") + 1)
@@ -71,7 +76,7 @@ def base_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("k"), merchant.alias("merchant_category"), ttype.alias("transaction_type"),
         _case_lt(eid % 10, DEVICE_CUTS, DEFAULT_DEVICE).alias("device_type"))
     # dimension join: AQE broadcasts the profile only if its measured size is small
-    tx = tx.join(customer_profile(spark, sf_dir), on="customer_id", how="left")
+    tx = tx.join(profile, on="customer_id", how="left")
     return tx.withColumn("location", _case_lt(F.col("k"), LOCATION_CUTS, DEFAULT_LOCATION))
 
 
