@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txnrisk.operators.joins import sized_join
+
 
 MONEY = "decimal(18,4)"
 
@@ -39,11 +41,12 @@ def key_stats(df: DataFrame, key: str, value: str, n: str = "n", mean: str = "me
 def attach(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
     """Left equi-join of a one-row-per-key table onto rows.
 
-    NULL keys get no match (as a pandas ``groupby`` drops NULL keys).  No
-    broadcast hint: the per-key table grows with the number of customers, so
-    the choice is left to AQE's measured-size check.
+    NULL keys get no match (as a pandas ``groupby`` drops NULL keys).  The
+    per-key table grows with the number of customers: it is materialised and
+    broadcast only under a checked row count, else sort-merge joined
+    (``operators.joins``).
     """
-    return rows.join(per_key, on=key, how="left")
+    return sized_join(rows, per_key, key, "left")
 
 
 def attach_key_stats(rows: DataFrame, key: str, value: str, n: str, mean: str,
@@ -106,21 +109,18 @@ def trailing_count(df: DataFrame, key: str, ts: str, out: str = "n_trailing",
                    unit: str = "hour") -> DataFrame:
     """Rows of the same key with time in ``[ts - 1 unit, ts]`` (peers included),
     i.e. ``count(*) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN 1 unit
-    PRECEDING AND CURRENT ROW)`` without a per-key partition."""
+    PRECEDING AND CURRENT ROW)`` without a per-key partition and without a
+    join: real rows keep their columns through the union, shadows carry only
+    the key and the shifted time."""
     interval = F.expr(_UNIT_INTERVAL[unit])
-    real = df.select(F.col(key).alias("_k"), F.col(ts).alias("_t"),
-                     F.lit(1).alias("_real"))
-    shadow = real.select("_k", (F.col("_t") + interval).alias("_t"),
-                         F.lit(0).alias("_real"))
-    both = real.unionByName(shadow).withColumn("_b", F.date_trunc(unit, F.col("_t")))
-    w = Window.partitionBy("_k", "_b").orderBy("_t")
-    counted = (both
-               .withColumn("_le", F.sum("_real").over(
-                   w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-               .withColumn("_ge", F.sum(1 - F.col("_real")).over(
-                   w.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
-               .where((F.col("_real") == 1) & F.col("_k").isNotNull())
-               .groupBy("_k", "_t")
-               .agg(F.max(F.col("_le") + F.col("_ge")).cast("bigint").alias(out)))
-    return (df.join(counted, (df[key] == counted["_k"]) & (df[ts] == counted["_t"]), "left")
-            .drop("_k", "_t"))
+    real = df.withColumns({"_t": F.col(ts), "_real": F.lit(1)})
+    shadow = df.select(key, (F.col(ts) + interval).alias("_t"), F.lit(0).alias("_real"))
+    both = real.unionByName(shadow, allowMissingColumns=True) \
+               .withColumn("_b", F.date_trunc(unit, F.col("_t")))
+    w = Window.partitionBy(key, "_b").orderBy("_t")
+    le = F.sum("_real").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ge = F.sum(1 - F.col("_real")).over(w.rangeBetween(Window.currentRow,
+                                                        Window.unboundedFollowing))
+    return (both.withColumn(out, F.when(F.col(key).isNotNull(), (le + ge).cast("bigint")))
+            .where(F.col("_real") == 1)
+            .drop("_t", "_real", "_b"))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txnrisk.functions import features as fx
+from txnrisk.operators.joins import is_small
 from txnrisk.session import cut_lineage
 
 # --- fixed values ---------------------------------------------------------------
@@ -94,10 +95,15 @@ def vocabulary_info(vocab: DataFrame) -> dict[str, tuple[int, int | None]]:
 
 
 def encode(df: DataFrame, vocab: DataFrame, cols: Sequence[str] = CATEGORICAL,
-           info: dict | None = None) -> DataFrame:
+           info: dict | None = None, materialized: bool = False) -> DataFrame:
     """Adds ``<col>_encoded``.  Unseen values become 'unknown': its code when
-    the vocabulary has it, else one past the last code."""
+    the vocabulary has it, else one past the last code.  The vocabulary is
+    materialised once and its size checked once; each column's slice is
+    broadcast when the whole is small, else sort-merge joined."""
+    if not materialized:
+        vocab = cut_lineage(vocab, "vocab")
     info = info or vocabulary_info(vocab)
+    small = is_small(vocab)
     out = df
     for c in cols:
         if c not in df.columns or c not in info:
@@ -105,7 +111,7 @@ def encode(df: DataFrame, vocab: DataFrame, cols: Sequence[str] = CATEGORICAL,
         size, unk = info[c]
         v = vocab.where(F.col("column_name") == c).select(
             F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
-        # the vocabulary is a join side: AQE broadcasts it when it is small
+        v = F.broadcast(v) if small else v
         out = out.join(v, _text(c) == F.col(f"_v_{c}"), "left")
         fallback = F.lit(unk if unk is not None else size)
         out = out.withColumn(f"{c}_encoded", F.coalesce(F.col(f"_c_{c}"), fallback)) \
@@ -229,16 +235,16 @@ class Preprocessor:
         it is small fitted state, joined five times later), then one aggregate
         with every median and the moments the scaler needs."""
         feats = fx.derive_features(df)
-        vocab = cut_lineage(fit_vocabulary(feats))
+        vocab = cut_lineage(fit_vocabulary(feats), "vocab")
         info = vocabulary_info(vocab)
-        enc = encode(feats, vocab, info=info)
+        enc = encode(feats, vocab, info=info, materialized=True)
         cols = cls.select_features(enc)
         med, sc = fit_median_and_scaler(enc, cols, exact_medians)
         return cls(vocab=vocab, vocab_info=info, medians=med, scaler=sc, feature_columns=cols)
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ("transaction_id",)) -> DataFrame:
         feats = fx.derive_features(df)
-        enc = encode(feats, self.vocab, info=self.vocab_info)
+        enc = encode(feats, self.vocab, info=self.vocab_info, materialized=True)
         missing = [c for c in self.feature_columns if c not in enc.columns]
         if missing:
             raise ValueError(f"missing feature columns: {missing}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from txnrisk.functions import features as fx
 from txnrisk.functions import policies as pol
 from txnrisk.operators import dashboard, scoring
+from txnrisk.operators.joins import sized_join
 from txnrisk.plans.catalog_features import sql_money_avg
 from txnrisk.plans.registry import query
 from txnrisk.sources import fixtures
@@ -182,7 +183,7 @@ def score_invalid_rows(spark: SparkSession, sf: str) -> DataFrame:
     o = fixtures.orders_txn(spark, sf).withColumn(
         "amount", F.when(F.col("amount") > 50, F.col("amount")))
     prof = fixtures.customer_profile(spark, sf).select("customer_id", "account_balance")
-    j = o.join(prof, "customer_id", "left").withColumn(
+    j = sized_join(o, prof, "customer_id", "left", materialize=False).withColumn(
         "p_balance", F.round(fx.balance_impact("amount", "account_balance"), 4))
     s = scoring.combine(j, ["p_balance"], prob_col=F.col("p_balance"))
     s = scoring.mark_invalid(s, ["amount", "account_balance"])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrisk.operators import keyed
+from txnrisk.operators.joins import sized, sized_join
 from txnrisk.sources.tables import read_table
 
 # --- fixed values of the stand-in mapping ------------------------------------
@@ -75,17 +75,17 @@ def events_to_txn(e: DataFrame, profile: DataFrame) -> DataFrame:
         F.col("ts").alias("event_time"), F.col("value").alias("amount"),
         k.alias("k"), merchant.alias("merchant_category"), ttype.alias("transaction_type"),
         _case_lt(eid % 10, DEVICE_CUTS, DEFAULT_DEVICE).alias("device_type"))
-    # dimension join: AQE broadcasts the profile only if its measured size is small
-    tx = tx.join(profile, on="customer_id", how="left")
+    # dimension join: broadcast under a checked row count, else sort-merge
+    tx = sized_join(tx, profile, "customer_id", "left", materialize=False)
     return tx.withColumn("location", _case_lt(F.col("k"), LOCATION_CUTS, DEFAULT_LOCATION))
 
 
 def _with_customer_avg(tx: DataFrame) -> DataFrame:
     # per-customer mean by partial aggregation + join, not a customer window.
     # NULL customers form their own group here, as a SQL window partition does.
-    avg = tx.groupBy("customer_id").agg(F.avg("amount").alias("cust_avg"))
-    return tx.join(avg, tx["customer_id"].eqNullSafe(avg["customer_id"]), "left") \
-             .drop(avg["customer_id"])
+    avg = sized(tx.groupBy(F.col("customer_id").alias("_ck"))
+                .agg(F.avg("amount").alias("cust_avg")))
+    return tx.join(avg, tx["customer_id"].eqNullSafe(avg["_ck"]), "left").drop("_ck")
 
 
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
