@@ -143,13 +143,13 @@ def model_predictions_long(spark: SparkSession, sf: str) -> DataFrame:
 # --- the scoring pipeline -----------------------------------------------------------
 
 SQL_PIPELINE = """
-, cs AS (SELECT customer_id, """ + sql_money_avg("amount") + """ AS cm FROM txn GROUP BY customer_id)
+, cs AS (SELECT customer_id, """ + sql_money_avg("amount") + """ AS cm FROM base GROUP BY customer_id)
 , sc AS (SELECT t.transaction_id, t.customer_id, t.event_time,
     round(least(CAST(1 AS DOUBLE), t.amount / NULLIF(5 * cs.cm, 0)), 4) AS p_amount,
     CASE WHEN t.location IN ('international') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS p_location,
     CASE WHEN hour(t.event_time) >= 22 OR hour(t.event_time) <= 5 THEN CAST(0.75 AS DOUBLE)
       ELSE CAST(0.25 AS DOUBLE) END AS p_night
-  FROM txn t LEFT JOIN cs ON t.customer_id = cs.customer_id)
+  FROM located t LEFT JOIN cs ON t.customer_id = cs.customer_id)
 , sp AS (SELECT *, round((p_amount + p_location + p_night) / 3, 4) AS p,
     (p_amount + p_location + p_night) / 3 AS m3 FROM sc)
 , es0 AS (SELECT *, p AS fraud_probability, """ + SQL_CONF + """ AS confidence_score,
@@ -163,7 +163,7 @@ SELECT transaction_id, customer_id, event_time, fraud_probability, confidence_sc
   is_fraud_pred, risk_level IN ('high', 'critical') AND confidence_score > 0.7 AS alert_triggered
 FROM es0""")
 def score_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    s = scoring.score_pipeline(fixtures.txn(spark, sf))
+    s = scoring.score_pipeline(fixtures.base_txn(spark, sf))   # no label needed
     return s.select(ID, "customer_id", "event_time", "fraud_probability", "confidence_score",
                     "risk_level", "is_fraud_pred", "alert_triggered")
 
