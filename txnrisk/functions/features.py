@@ -49,6 +49,16 @@ def nan_to_null(x) -> Column:
     return F.nanvl(c(x), F.lit(None).cast("double"))
 
 
+def parse_timestamp(x) -> Column:
+    """Text to a zone-free timestamp; unparseable text gives NULL, not an error."""
+    return F.try_to_timestamp(c(x)).cast("timestamp_ntz")
+
+
+def padded_id(prefix: str, n, width: int) -> Column:
+    """Zero-padded identifier, e.g. ``CUST_000042``."""
+    return F.format_string(f"{prefix}%0{width}d", c(n))
+
+
 def hour_of(ts) -> Column:
     return F.hour(c(ts))
 

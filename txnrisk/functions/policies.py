@@ -86,6 +86,33 @@ def confidence(cols: Sequence, variant: str = "strict") -> Column:
     return 1.0 / (1.0 + population_variance(cols))
 
 
+def member_score(proba, pred) -> Column:
+    """A model's score: its probability when it has one, else its 0/1
+    decision as a number (models without probabilities still vote)."""
+    return F.coalesce(c(proba).cast("double"), c(pred).cast("double"))
+
+
+def map_mean(m) -> Column:
+    """Mean of a model -> probability map (0 when empty)."""
+    vals = F.map_values(c(m))
+    n = F.size(vals)
+    total = F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x)
+    return F.when(n > 0, total / n).otherwise(F.lit(0.0))
+
+
+def map_confidence(m, variant: str = "strict") -> Column:
+    """Confidence from a model -> probability map, for a model set that is
+    only known per row: 1 / (1 + population variance of the map values)."""
+    vals = F.map_values(c(m))
+    n = F.size(vals)
+    mean = map_mean(m)
+    var = F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / n
+    conf = 1.0 / (1.0 + var)
+    if variant == "dashboard":
+        return F.when(n > 1, conf).otherwise(F.lit(SINGLE_MODEL_DASHBOARD_CONFIDENCE))
+    return F.when(n > 0, conf).otherwise(F.lit(0.0))
+
+
 def alert_strict(level, conf) -> Column:
     return c(level).isin(*ALERT_LEVELS) & (c(conf) > STRICT_ALERT_CONFIDENCE)
 

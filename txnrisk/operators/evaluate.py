@@ -225,3 +225,13 @@ def best_models(comp: DataFrame, criteria: Sequence[str] = ("f1_score", "roc_auc
                      for c in criteria],
                    F.struct(F.lit("recommended").alias("criterion"), same.alias("model")))
     return wide.select(F.inline(rows))
+
+
+def rankings(comp: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Long ``(metric, model, value, rank)``: rank 1 = best, ties share a rank.
+    The window runs over the comparison table (one row per model)."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
+                      for m in metrics])
+    long = comp.select("model", F.inline(pairs))
+    w = Window.partitionBy("metric").orderBy(F.col("value").desc())
+    return long.select("metric", "model", "value", F.rank().over(w).alias("rank"))

@@ -199,6 +199,22 @@ def scale(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
     return df.withColumns(out)
 
 
+def feature_types(df: DataFrame) -> tuple[list[str], list[str]]:
+    """(numeric, categorical) columns from the schema, minus ids, target and
+    time columns."""
+    numeric, categorical = [], []
+    for f in df.schema.fields:
+        if f.name in ("is_fraud", "transaction_id", "customer_id", "timestamp", "event_time",
+                      "fraud_type"):
+            continue
+        t = f.dataType.typeName()
+        if t in ("integer", "long", "double", "float", "short", "byte", "decimal"):
+            numeric.append(f.name)
+        elif t == "string":
+            categorical.append(f.name)
+    return numeric, categorical
+
+
 # --- the fitted preprocessor ----------------------------------------------------------
 
 FEATURE_ORDER = [

@@ -271,3 +271,28 @@ def agg_score_threshold(spark: SparkSession, sf: str) -> DataFrame:
     s = fixtures.scored(spark, sf)
     return s.agg(F.round(F.percentile("p_amount", 0.03), 6).alias("q03"),
                  F.round(F.percentile("p_amount", 0.95), 6).alias("q95"))
+
+
+RANKED_METRICS = ["accuracy", "precision", "recall", "f1_score", "roc_auc"]
+
+
+@query("eval_rankings", sql=SQL_COMPARISON + "\n  UNION ALL ".join(
+    f"SELECT '{m}' AS metric, model, {m} AS value, "
+    f"CAST(rank() OVER (ORDER BY {m} DESC) AS INTEGER) AS rank FROM cmp" for m in RANKED_METRICS))
+def eval_rankings(spark: SparkSession, sf: str) -> DataFrame:
+    """Chart data: each model's rank on each metric (long form)."""
+    comp = comparison(spark, sf)
+    return ev.rankings(comp, RANKED_METRICS)
+
+
+@query("eval_report")
+def eval_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The evaluation report as numbered Markdown lines (and written as a text
+    file into the shared folder)."""
+    from txnrisk.operators import report
+    from txnrisk.sources import files
+    comp = comparison(spark, sf)
+    lines = report.markdown_lines(comp, ev.best_models(comp))
+    files.write_text(lines.orderBy("line_no").select("text"),
+                     files.scratch_path(spark, "evaluation-report"))
+    return lines
