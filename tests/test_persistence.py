@@ -20,11 +20,11 @@ def test_train_all_save_reload(spark):
     out = os.path.join(checkpoint_dir(spark), f"train-{uuid.uuid4().hex}")
     txn = fixtures.txn(spark, SF)
     trained, evaluation = train_all(spark, txn, out)
-    assert {r.model for r in evaluation.collect()} == {"rf", "if", "ae", "ens"}
-    assert spark.read.parquet(os.path.join(out, "evaluation")).count() == 4
+    assert {r.model for r in evaluation.collect()} == {"rf", "if", "mlp", "ae", "ens"}
+    assert spark.read.parquet(os.path.join(out, "evaluation")).count() == 5
     assert spark.read.text(os.path.join(out, "report")).count() > 10
     back = Trained.load(spark, os.path.join(out, "models"))
-    cols = ["if_score", "ae_error", "rf_proba", "ens_proba"]
+    cols = ["if_score", "ae_error", "mlp_error", "rf_proba", "ens_proba"]
     a = trained.score(txn).select(ID, *cols).orderBy(ID).collect()
     b = back.score(txn).select(ID, *cols).orderBy(ID).collect()
     assert a == b

@@ -59,7 +59,7 @@ def _bucket(ts: str, unit: str) -> Column:
 
 
 def asof_stats(df: DataFrame, key: str, ts: str, tiebreak: str, value: str,
-               unit: str = "day", n: str = "n_before", mean: str = "avg_before",
+               unit: str = "hour", n: str = "n_before", mean: str = "avg_before",
                std: str = "std_before") -> DataFrame:
     """count / mean / sample std of ``value`` over the same key's rows strictly
     before each row in ``(ts, tiebreak)`` order.  Two-level prefix sums."""

@@ -1,0 +1,228 @@
+"""Dense autoencoder anomaly detector, trained as Spark jobs.
+
+Architecture (fixed by the reference): d -> 64 -> 32 -> 16 -> 32 -> 64 -> d,
+ReLU hidden layers, dropout 0.2 after the 64/32 layers, linear output, MSE
+loss, Adam (lr 1e-3); trained on normal rows with a 20 % validation split,
+early stopping (patience 10, best weights restored) and learning-rate
+halving on plateaus (patience 5, floor 1e-7); threshold = 95th percentile of
+training errors.
+
+Distribution: one Spark job per epoch.  The weights are broadcast; every
+partition runs mini-batch Adam over its own rows (``mapInPandas``, Arrow
+batches, numpy) and returns ONE row -- its parameters and row counts -- so the
+driver receives ``#partitions`` rows, never data.  The driver averages the
+parameters weighted by rows (parameter averaging: Zinkevich et al. 2010,
+McMahan et al. 2017) and evaluates the callbacks on the validation loss
+summed over partitions.  Partitions come from file splits, not keys, so no
+group can be hot.  Errors are scored by an Arrow-batched pandas UDF.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from txnrisk.operators.models.recon import normal_rows
+
+# --- fixed values (must equal the reference's) -------------------------------
+HIDDEN = [64, 32, 16, 32, 64]
+DROPOUT = 0.2
+DROPOUT_AFTER = {0, 1, 3, 4}          # after the 64, 32 (encoder) and 32, 64 (decoder) layers
+LEARNING_RATE = 1e-3
+EPOCHS = 50
+BATCH = 64
+VALIDATION = 0.2
+ES_PATIENCE, LR_PATIENCE, LR_FACTOR, LR_MIN = 10, 5, 0.5, 1e-7
+THRESHOLD_PERCENTILE = 0.95
+# ------------------------------------------------------------------------------
+EXACT_PERCENTILE_MAX_ROWS = 5_000_000   # beyond: mergeable quantile sketch
+ADAM_B1, ADAM_B2, ADAM_EPS = 0.9, 0.999, 1e-7
+
+
+def init_params(d: int, seed: int) -> list[np.ndarray]:
+    """Glorot-uniform weights, zero biases."""
+    rng = np.random.RandomState(seed)
+    sizes = [d, *HIDDEN, d]
+    params = []
+    for a, b in zip(sizes[:-1], sizes[1:]):
+        lim = np.sqrt(6.0 / (a + b))
+        params += [rng.uniform(-lim, lim, size=(a, b)), np.zeros(b)]
+    return params
+
+
+def forward(params, X, rng=None):
+    """Returns the output and the cached activations (and dropout masks)."""
+    acts, masks = [X], []
+    h = X
+    n_layers = len(params) // 2
+    for i in range(n_layers):
+        z = h @ params[2 * i] + params[2 * i + 1]
+        if i < n_layers - 1:
+            h = np.maximum(z, 0.0)
+            if rng is not None and i in DROPOUT_AFTER:
+                m = (rng.random_sample(h.shape) >= DROPOUT) / (1.0 - DROPOUT)
+                h = h * m
+                masks.append(m)
+            else:
+                masks.append(None)
+        else:
+            h = z
+        acts.append(h)
+    return h, acts, masks
+
+
+def gradients(params, X, rng):
+    out, acts, masks = forward(params, X, rng)
+    n, d = X.shape
+    delta = 2.0 * (out - X) / (n * d)            # d(mean squared error)/d(out)
+    grads = [None] * len(params)
+    n_layers = len(params) // 2
+    for i in reversed(range(n_layers)):
+        grads[2 * i] = acts[i].T @ delta
+        grads[2 * i + 1] = delta.sum(axis=0)
+        if i > 0:
+            delta = delta @ params[2 * i].T
+            if masks[i - 1] is not None:
+                delta = delta * masks[i - 1]
+            delta = delta * (acts[i] > 0)
+    return grads
+
+
+def mse_rows(params, X):
+    out, _, _ = forward(params, X)
+    return np.mean((out - X) ** 2, axis=1)
+
+
+def _flatten(params):
+    return np.concatenate([p.ravel() for p in params])
+
+
+def _unflatten(vec, like):
+    out, i = [], 0
+    for p in like:
+        out.append(vec[i:i + p.size].reshape(p.shape))
+        i += p.size
+    return out
+
+
+EPOCH_SCHEMA = T.StructType([
+    T.StructField("n_train", T.LongType()), T.StructField("n_val", T.LongType()),
+    T.StructField("val_loss_sum", T.DoubleType()), T.StructField("params", T.ArrayType(T.DoubleType()))])
+
+
+@dataclass
+class AutoencoderModel:
+    feature_columns: list[str]
+    params: list[np.ndarray]
+    threshold: float = 0.0
+    max_error: float = 0.0
+    history: list[dict] = field(default_factory=list)
+
+    def errors(self, df: DataFrame, out: str = "mlp_error") -> DataFrame:
+        bc = df.sparkSession.sparkContext.broadcast(self.params)
+
+        @F.pandas_udf(T.DoubleType())
+        def mse(*cols: pd.Series) -> pd.Series:
+            X = np.column_stack([c.to_numpy(dtype=float) for c in cols])
+            return pd.Series(mse_rows(bc.value, X))
+
+        return df.withColumn(out, mse(*[F.col(c).cast("double") for c in self.feature_columns]))
+
+    def transform(self, df: DataFrame, prefix: str = "mlp") -> DataFrame:
+        e = self.errors(df, f"{prefix}_error")
+        err = F.col(f"{prefix}_error")
+        proba = (F.lit(0.0) if self.max_error == 0 else
+                 F.least(F.lit(1.0), F.greatest(F.lit(0.0), err / F.lit(self.max_error))))
+        return (e.withColumn(f"{prefix}_pred", (err > F.lit(self.threshold)).cast("int"))
+                .withColumn(f"{prefix}_proba", proba))
+
+
+@dataclass
+class AutoencoderDetector:
+    epochs: int = EPOCHS
+    batch: int = BATCH
+    learning_rate: float = LEARNING_RATE
+    seed: int = 42
+
+    def fit(self, df: DataFrame, feature_columns: Sequence[str], id_col: str,
+            label: str = "label") -> AutoencoderModel:
+        cols = list(feature_columns)
+        train = normal_rows(df, label)
+        # validation split by id hash: fixed across epochs and partitionings
+        data = train.select(*[F.col(c).cast("double").alias(c) for c in cols],
+                            (F.pmod(F.xxhash64(F.col(id_col), F.lit(self.seed)), F.lit(100))
+                             < int(VALIDATION * 100)).alias("_val"))
+        sc = df.sparkSession.sparkContext
+        params = init_params(len(cols), self.seed)
+        lr, best, best_params, wait_es, wait_lr = self.learning_rate, np.inf, params, 0, 0
+        history = []
+        batch, seed = self.batch, self.seed
+        for epoch in range(self.epochs):
+            bc = sc.broadcast((params, lr, epoch))
+
+            def local_epoch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                p0, lr_, ep = bc.value
+                p = [w.copy() for w in p0]
+                m = [np.zeros_like(w) for w in p]
+                v = [np.zeros_like(w) for w in p]
+                pid = TaskContext.get().partitionId()
+                rng = np.random.RandomState((seed * 1_000_003 + ep * 7919 + pid) % (2 ** 31))
+                n_tr = n_va = 0
+                val_sum, t = 0.0, 0
+                for pdf in batches:
+                    val = pdf["_val"].to_numpy()
+                    X = pdf[cols].to_numpy(dtype=float)
+                    if val.any():                          # loss of the epoch's start weights
+                        val_sum += float(mse_rows(p0, X[val]).sum())
+                        n_va += int(val.sum())
+                    Xt = X[~val]
+                    n_tr += Xt.shape[0]
+                    order = rng.permutation(Xt.shape[0])
+                    for s in range(0, Xt.shape[0], batch):
+                        g = gradients(p, Xt[order[s:s + batch]], rng)
+                        t += 1
+                        for i in range(len(p)):
+                            m[i] = ADAM_B1 * m[i] + (1 - ADAM_B1) * g[i]
+                            v[i] = ADAM_B2 * v[i] + (1 - ADAM_B2) * g[i] * g[i]
+                            mh = m[i] / (1 - ADAM_B1 ** t)
+                            vh = v[i] / (1 - ADAM_B2 ** t)
+                            p[i] = p[i] - lr_ * mh / (np.sqrt(vh) + ADAM_EPS)
+                yield pd.DataFrame({"n_train": [n_tr], "n_val": [n_va], "val_loss_sum": [val_sum],
+                                    "params": [_flatten(p)]})
+
+            rows = data.mapInPandas(local_epoch, EPOCH_SCHEMA).collect()   # one row per partition
+            bc.unpersist()
+            n_val = sum(r.n_val for r in rows)
+            val_loss = sum(r.val_loss_sum for r in rows) / n_val if n_val else np.nan
+            history.append({"epoch": epoch, "val_loss": val_loss, "lr": lr})
+            # callbacks on the loss of the weights this epoch started from
+            if n_val and val_loss < best:
+                best, best_params, wait_es, wait_lr = val_loss, params, 0, 0
+            elif n_val:
+                wait_es += 1
+                wait_lr += 1
+                if wait_lr >= LR_PATIENCE:
+                    lr, wait_lr = max(lr * LR_FACTOR, LR_MIN), 0
+                if wait_es >= ES_PATIENCE:
+                    break
+            n_tr = sum(r.n_train for r in rows)
+            if n_tr == 0:
+                break
+            avg = sum(np.asarray(r.params) * (r.n_train / n_tr) for r in rows if r.n_train)
+            params = _unflatten(avg, params)
+        final = best_params if np.isfinite(best) else params
+        model = AutoencoderModel(cols, final, history=history)
+        e = model.errors(train.select(*cols), "_e")
+        n = train.count()
+        pct = (F.percentile("_e", THRESHOLD_PERCENTILE) if n <= EXACT_PERCENTILE_MAX_ROWS
+               else F.percentile_approx("_e", THRESHOLD_PERCENTILE, 100_000))
+        thr, mx = e.agg(pct, F.max("_e")).first()
+        model.threshold, model.max_error = float(thr), float(mx)
+        return model

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from txnrisk.functions import features as fx
 from txnrisk.operators import keyed
+from txnrisk.operators.joins import sized_join
 
 # --- fixed values -------------------------------------------------------------
 HIGH_AMOUNT_FACTOR = 5.0          # amount >= 5 x customer mean
@@ -65,7 +66,7 @@ def new_merchant(df: DataFrame) -> DataFrame:
     # ids are unique: joins below are on a unique key, so never skewed
     novel = first_use.select(ID).join(first_txn.select(ID), ID, "left_anti") \
                      .withColumn("_novel", F.lit(1))
-    out = df.join(novel, ID, "left")
+    out = sized_join(df, novel, ID, "left")
     return out.withColumn("new_merchant", F.greatest(
         fx.is_high_risk_merchant("merchant_category"),
         F.coalesce(F.col("_novel"), F.lit(0)))).drop("_novel")

@@ -292,7 +292,7 @@ WINDOW w AS (PARTITION BY customer_id ORDER BY event_time, transaction_id
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def feat_profile_asof(spark: SparkSession, sf: str) -> DataFrame:
     t = txn(spark, sf).select(ID, "customer_id", "event_time", "amount")
-    a = keyed.asof_stats(t, "customer_id", "event_time", ID, "amount", unit="day")
+    a = keyed.asof_stats(t, "customer_id", "event_time", ID, "amount", unit="hour")
     return a.select(ID, "n_before", "avg_before", r6("std_before"))
 
 

@@ -16,6 +16,7 @@ from txnrisk.functions import policies as pol
 from txnrisk.operators import evaluate as ev
 from txnrisk.operators import scoring, state
 from txnrisk.operators.models import forest
+from txnrisk.operators.models.autoencoder import AutoencoderDetector
 from txnrisk.operators.models.iforest import IsolationForest
 from txnrisk.operators.models.recon import ReconstructionDetector
 from txnrisk.plans.registry import query
@@ -23,7 +24,7 @@ from txnrisk.session import cut_lineage
 from txnrisk.sources import fixtures
 
 ID = "transaction_id"
-ENSEMBLE_MEMBERS = ["if", "ae"]          # shipped ensemble: isolation forest + reconstruction
+ENSEMBLE_MEMBERS = ["if", "mlp"]        # shipped ensemble: isolation forest + autoencoder
 
 
 # fitted state is reused by every query of the same application and input
@@ -62,6 +63,12 @@ def fitted_iforest(spark: SparkSession, sf: str):
     return _memo(spark, sf, "if", lambda: IsolationForest().fit(_train(x), cols, ID))
 
 
+def fitted_autoencoder(spark: SparkSession, sf: str):
+    x, cols = feature_table(spark, sf)
+    return _memo(spark, sf, "mlp",
+                 lambda: AutoencoderDetector().fit(_train(x), cols, ID, "label"))
+
+
 def fitted_recon(spark: SparkSession, sf: str):
     x, cols = feature_table(spark, sf)
     return _memo(spark, sf, "ae", lambda: ReconstructionDetector().fit(_train(x), cols, "label"))
@@ -98,9 +105,18 @@ def model_recon(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("ae_pred").alias("is_anomaly"), F.col("ae_proba").alias("probability"))
 
 
+@query("model_autoencoder")
+def model_autoencoder(spark: SparkSession, sf: str) -> DataFrame:
+    x, _ = feature_table(spark, sf)
+    s = fitted_autoencoder(spark, sf).transform(x)
+    return s.select(ID, F.col("mlp_error").alias("reconstruction_error"),
+                    F.col("mlp_pred").alias("is_anomaly"), F.col("mlp_proba").alias("probability"))
+
+
 def scored_by_models(spark: SparkSession, sf: str, with_forest: bool = True) -> DataFrame:
     x, cols = feature_table(spark, sf)
     s = fitted_recon(spark, sf).transform(fitted_iforest(spark, sf).transform(x))
+    s = fitted_autoencoder(spark, sf).transform(s)
     if with_forest:
         s = forest.forest_scores(fitted_forest(spark, sf), s, cols)
     return forest.ensemble(s, ENSEMBLE_MEMBERS, pol.ENSEMBLE_WEIGHTS)
@@ -111,7 +127,7 @@ def model_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted ensemble (0.6 / 0.4) and the served result: plain mean over
     the base models, confidence from their agreement, level, decision, alert."""
     s = scored_by_models(spark, sf, with_forest=False)
-    served = scoring.combine(s, ["if_proba", "ae_proba"], policy="strict")
+    served = scoring.combine(s, ["if_proba", "mlp_proba"], policy="strict")
     return served.select(ID, "ens_proba", "ens_pred", "fraud_probability", "confidence_score",
                          "risk_level", "is_fraud_pred", "alert_triggered")
 
@@ -120,7 +136,7 @@ def model_ensemble(spark: SparkSession, sf: str) -> DataFrame:
 def eval_fitted_models(spark: SparkSession, sf: str) -> DataFrame:
     """Every fitted model on the held-out rows, one pass for all models."""
     s = scored_by_models(spark, sf).where(F.col("is_test"))
-    members = ["rf", "if", "ae", "ens"]
+    members = ["rf", "if", "mlp", "ae", "ens"]
     long = reduce(DataFrame.unionByName, [
         s.select(F.lit(m).alias("model"), F.lit(i).alias("model_idx"),
                  F.col("label").cast("int").alias("label"),
