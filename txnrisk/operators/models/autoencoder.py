@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnrisk.operators.models.recon import normal_rows
+from txnrisk.session import cut_lineage
 
 # --- fixed values (must equal the reference's) -------------------------------
 HIDDEN = [64, 32, 16, 32, 64]
@@ -43,6 +44,8 @@ ES_PATIENCE, LR_PATIENCE, LR_FACTOR, LR_MIN = 10, 5, 0.5, 1e-7
 THRESHOLD_PERCENTILE = 0.95
 # ------------------------------------------------------------------------------
 EXACT_PERCENTILE_MAX_ROWS = 5_000_000   # beyond: mergeable quantile sketch
+MAX_TRAIN_PARTITIONS_FACTOR = 2         # training partitions <= 2 x cluster parallelism
+DRIVER_FANIN = 64                       # per-epoch rows reaching the driver
 ADAM_B1, ADAM_B2, ADAM_EPS = 0.9, 0.999, 1e-7
 
 
@@ -114,7 +117,23 @@ def _unflatten(vec, like):
 
 EPOCH_SCHEMA = T.StructType([
     T.StructField("n_train", T.LongType()), T.StructField("n_val", T.LongType()),
-    T.StructField("val_loss_sum", T.DoubleType()), T.StructField("params", T.ArrayType(T.DoubleType()))])
+    T.StructField("val_loss_sum", T.DoubleType()),
+    T.StructField("wparams", T.ArrayType(T.DoubleType()))])   # params x n_train
+
+
+def _sum_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial sums of per-partition epoch rows (one level of a tree reduce)."""
+    n_tr = n_va = 0
+    val, acc = 0.0, None
+    for pdf in batches:
+        n_tr += int(pdf["n_train"].sum())
+        n_va += int(pdf["n_val"].sum())
+        val += float(pdf["val_loss_sum"].sum())
+        for w in pdf["wparams"]:
+            acc = np.asarray(w, dtype=float) if acc is None else acc + np.asarray(w, dtype=float)
+    if acc is not None:
+        yield pd.DataFrame({"n_train": [n_tr], "n_val": [n_va], "val_loss_sum": [val],
+                            "wparams": [acc]})
 
 
 @dataclass
@@ -155,11 +174,18 @@ class AutoencoderDetector:
             label: str = "label") -> AutoencoderModel:
         cols = list(feature_columns)
         train = normal_rows(df, label)
-        # validation split by id hash: fixed across epochs and partitionings
+        sc = df.sparkSession.sparkContext
+        # validation split by id hash: fixed across epochs and partitionings.
+        # Training partitions are set once (one row per partition comes back per
+        # epoch): at least the cluster's parallelism, at most twice it.
         data = train.select(*[F.col(c).cast("double").alias(c) for c in cols],
                             (F.pmod(F.xxhash64(F.col(id_col), F.lit(self.seed)), F.lit(100))
                              < int(VALIDATION * 100)).alias("_val"))
-        sc = df.sparkSession.sparkContext
+        n_parts = data.rdd.getNumPartitions()
+        lo, hi = sc.defaultParallelism, MAX_TRAIN_PARTITIONS_FACTOR * sc.defaultParallelism
+        if n_parts < lo or n_parts > hi:
+            data = data.repartition(min(max(n_parts, lo), hi))
+        data = cut_lineage(data, "autoencoder-train")
         params = init_params(len(cols), self.seed)
         lr, best, best_params, wait_es, wait_lr = self.learning_rate, np.inf, params, 0, 0
         history = []
@@ -195,9 +221,12 @@ class AutoencoderDetector:
                             vh = v[i] / (1 - ADAM_B2 ** t)
                             p[i] = p[i] - lr_ * mh / (np.sqrt(vh) + ADAM_EPS)
                 yield pd.DataFrame({"n_train": [n_tr], "n_val": [n_va], "val_loss_sum": [val_sum],
-                                    "params": [_flatten(p)]})
+                                    "wparams": [_flatten(p) * n_tr]})
 
-            rows = data.mapInPandas(local_epoch, EPOCH_SCHEMA).collect()   # one row per partition
+            ep_rows = data.mapInPandas(local_epoch, EPOCH_SCHEMA)          # one row per partition
+            if ep_rows.rdd.getNumPartitions() > DRIVER_FANIN:              # tree-reduce first
+                ep_rows = ep_rows.repartition(DRIVER_FANIN).mapInPandas(_sum_rows, EPOCH_SCHEMA)
+            rows = ep_rows.collect()
             bc.unpersist()
             n_val = sum(r.n_val for r in rows)
             val_loss = sum(r.val_loss_sum for r in rows) / n_val if n_val else np.nan
@@ -215,7 +244,7 @@ class AutoencoderDetector:
             n_tr = sum(r.n_train for r in rows)
             if n_tr == 0:
                 break
-            avg = sum(np.asarray(r.params) * (r.n_train / n_tr) for r in rows if r.n_train)
+            avg = sum(np.asarray(r.wparams) for r in rows if r.n_train) / n_tr
             params = _unflatten(avg, params)
         final = best_params if np.isfinite(best) else params
         model = AutoencoderModel(cols, final, history=history)

@@ -129,17 +129,15 @@ def _exact_ok(df: DataFrame, exact: bool | None) -> bool:
 
 
 def fit_medians(df: DataFrame, cols: Sequence[str], exact: bool | None = None) -> DataFrame:
-    """Long table ``(feature, median_value)``.  Exact (linear interpolation,
+    """Long table ``(feature, median_value)``, one ``groupBy(feature)`` so each
+    column's percentile buffer is its own task.  Exact (linear interpolation,
     as numpy) up to a row bound; beyond it a mergeable quantile sketch."""
-    if _exact_ok(df, exact):
-        aggs = [F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in cols]
-    else:
-        aggs = [F.percentile_approx(F.col(c).cast("double"), 0.5, APPROX_ACCURACY).cast("double")
-                .alias(c) for c in cols]
-    wide = df.agg(*aggs)
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("median_value"))
+    x = F.col("x")
+    med = (F.percentile(x, 0.5) if _exact_ok(df, exact)
+           else F.percentile_approx(x, 0.5, APPROX_ACCURACY).cast("double"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
                       for c in cols])
-    return wide.select(F.inline(pairs))
+    return df.select(F.inline(pairs)).groupBy("feature").agg(med.alias("median_value"))
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -157,31 +155,33 @@ def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def fit_median_and_scaler(df: DataFrame, cols: Sequence[str], exact: bool | None = None):
     """Medians and the mean / population std of the median-imputed columns,
-    from one aggregate: with ``k`` of ``n`` values present and median ``m``,
-    the imputed column has sum ``s + (n-k) m`` and square sum ``q + (n-k) m^2``.
-    """
-    pct = ((lambda x: F.percentile(x, 0.5)) if _exact_ok(df, exact)
-           else (lambda x: F.percentile_approx(x, 0.5, APPROX_ACCURACY).cast("double")))
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [pct(x).alias(f"m{i}"), F.count(x).alias(f"k{i}"), F.sum(x).alias(f"s{i}"),
-                 F.sum(x * x).alias(f"q{i}")]
-    r = df.agg(*aggs).first()
-    n = r["_n"]
-    med, sc = {}, {}
-    for i, c in enumerate(cols):
-        m = r[f"m{i}"]
+    from one aggregate in long form -- ``groupBy(feature)``, so each column's
+    percentile buffer lives in its own task.  With ``k`` of ``n`` values present
+    and median ``m``, the imputed column has sum ``s + (n-k) m`` and square sum
+    ``q + (n-k) m^2``."""
+    exact_ok = _exact_ok(df, exact)
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
+                      for c in cols])
+    long = df.select(F.inline(pairs))
+    x = F.col("x")
+    med = (F.percentile(x, 0.5) if exact_ok
+           else F.percentile_approx(x, 0.5, APPROX_ACCURACY).cast("double"))
+    stats = {r["feature"]: r for r in long.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), med.alias("m"), F.count(x).alias("k"),
+        F.sum(x).alias("s"), F.sum(x * x).alias("q")).collect()}   # one row per feature
+    medians, scaler = {}, {}
+    for c in cols:
+        r = stats.get(c)
+        if r is None or not r["n"]:
+            medians[c], scaler[c] = None, (0.0, 0.0)
+            continue
+        n, m, k = r["n"], r["m"], r["k"]
         fill = m if m is not None else 0.0
-        k, s_, q = r[f"k{i}"], r[f"s{i}"] or 0.0, r[f"q{i}"] or 0.0
-        med[c] = m
-        if n:
-            mean = (s_ + (n - k) * fill) / n
-            var = max(0.0, (q + (n - k) * fill * fill) / n - mean * mean)
-            sc[c] = (mean, var ** 0.5)
-        else:
-            sc[c] = (0.0, 0.0)
-    return med, sc
+        s_, q = r["s"] or 0.0, r["q"] or 0.0
+        mean = (s_ + (n - k) * fill) / n
+        var = max(0.0, (q + (n - k) * fill * fill) / n - mean * mean)
+        medians[c], scaler[c] = m, (mean, var ** 0.5)
+    return medians, scaler
 
 
 def impute(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:

@@ -20,7 +20,7 @@ from txnrisk.operators.models.autoencoder import AutoencoderDetector
 from txnrisk.operators.models.iforest import IsolationForest
 from txnrisk.operators.models.recon import ReconstructionDetector
 from txnrisk.plans.registry import query
-from txnrisk.session import cut_lineage
+from txnrisk.session import cut_lineage, ensure_parallelism
 from txnrisk.sources import fixtures
 
 ID = "transaction_id"
@@ -45,7 +45,8 @@ def feature_table(spark: SparkSession, sf: str):
         pre = state.Preprocessor.fit(t.where(~F.col("is_test")))
         x = pre.transform(t, keep=(ID, "customer_id", "event_time", "merchant_category",
                                    "location", "is_test"))
-        return cut_lineage(x, "features"), pre.feature_columns
+        # model fits and Python scoring are CPU-bound: use every core
+        return cut_lineage(ensure_parallelism(x), "features"), pre.feature_columns
     return _memo(spark, sf, "features", make)
 
 

@@ -71,3 +71,12 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = os.path.join(checkpoint_dir(df.sparkSession), "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ensure_parallelism(df: DataFrame, minimum: int | None = None) -> DataFrame:
+    """Raise the partition count to the cluster's parallelism for CPU-heavy
+    stages (model fits, Python scoring) when a small input arrives in few
+    files.  A no-op at scale, where inputs already have many more partitions
+    than cores."""
+    want = minimum or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
