@@ -62,11 +62,15 @@ def kfold_assign(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def class_weights(df: DataFrame, label: str = "is_fraud") -> DataFrame:
-    """Balanced weights n / (n_classes * n_class), one row per class."""
+    """Balanced weights n / (n_classes * n_class), one row per class: the
+    per-class counts (one row per class) are gathered into one row, then
+    exploded back with the totals."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
-    w = Window.partitionBy()   # over the per-class rows only (two rows)
-    return per.select(label, (F.sum("n_class").over(w) /
-                              (F.count(F.lit(1)).over(w) * F.col("n_class"))).alias("weight"))
+    one = per.agg(F.collect_list(F.struct(label, "n_class")).alias("c"),
+                  F.sum("n_class").alias("n"), F.count(F.lit(1)).alias("k"))
+    return one.select(F.explode("c").alias("e"), "n", "k").select(
+        F.col(f"e.{label}").alias(label),
+        (F.col("n") / (F.col("k") * F.col("e.n_class"))).alias("weight"))
 
 
 def with_weight(df: DataFrame, weights: DataFrame, label: str = "is_fraud") -> DataFrame:
