@@ -69,10 +69,11 @@ def asof_stats(df: DataFrame, key: str, ts: str, tiebreak: str, value: str,
     rows = df.withColumn(b, _bucket(ts, unit))
     local_w = (Window.partitionBy(key, b).orderBy(ts, tiebreak)
                .rowsBetween(Window.unboundedPreceding, -1))
-    rows = (rows
-            .withColumn("_ln", F.count(x).over(local_w))
-            .withColumn("_ls", F.coalesce(F.sum(xd).over(local_w), F.lit(0).cast(MONEY)))
-            .withColumn("_lq", F.coalesce(F.sum(x * x).over(local_w), F.lit(0.0))))
+    # one select: the three frames share a spec and run in one Window operator
+    rows = rows.select(
+        "*", F.count(x).over(local_w).alias("_ln"),
+        F.coalesce(F.sum(xd).over(local_w), F.lit(0).cast(MONEY)).alias("_ls"),
+        F.coalesce(F.sum(x * x).over(local_w), F.lit(0.0)).alias("_lq"))
     totals = (df.withColumn(b, _bucket(ts, unit))
               .where(F.col(key).isNotNull())
               .groupBy(key, b)
