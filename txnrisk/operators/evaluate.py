@@ -32,7 +32,7 @@ from txnrisk.session import cut_lineage
 COST_FP, COST_FN, COST_TP, COST_TN = 10, 1000, 50, 1
 F1_EPS = 1e-8                      # best-threshold F1 denominator guard
 # ------------------------------------------------------------------------------
-MAX_BUCKETS = 1024
+MAX_BUCKETS = 8192
 ROWS_PER_BUCKET = 100_000
 
 
