@@ -26,6 +26,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txnrisk.operators.joins import sized
 from txnrisk.session import cut_lineage
 
 # --- fixed values (must equal the reference's) -------------------------------
@@ -163,8 +164,9 @@ def ranked_curve(long: DataFrame, group: Sequence[str] = ("model",),
     within = (Window.partitionBy(*group, "_b").orderBy(F.col("score").desc())
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     c = d.withColumns({"_lp": F.sum("pos").over(within), "_ln": F.sum("neg").over(within)})
-    # offsets hold at most groups x MAX_BUCKETS rows: a bounded broadcast
-    c = c.join(F.broadcast(offsets), on=[*group, "_b"])
+    # offsets hold groups x buckets rows (models x <= MAX_BUCKETS): broadcast
+    # after a size check, since the caller chooses the grouping
+    c = c.join(sized(offsets, materialize=False), on=[*group, "_b"])
     return c.select(*group, "score", "pos", "neg",
                     (F.col("_op") + F.col("_lp")).cast("bigint").alias("tps"),
                     (F.col("_on") + F.col("_ln")).cast("bigint").alias("fps"), "P", "N")
