@@ -71,3 +71,23 @@ def test_features_conditional_on_columns(spark):
     assert "log_amount" in cols and "hour" not in cols and "is_mobile_device" not in cols
     df2 = df.withColumn("location", F.lit("international"))
     assert fx.derive_features(df2).first().is_high_risk_location == 1
+
+
+def test_parse_timestamp_and_padded_id(spark):
+    df = spark.createDataFrame([("2024-01-02 03:04:05", 42), ("not a time", 7)], "t string, n int")
+    r = df.select(fx.parse_timestamp("t").alias("ts"), fx.padded_id("CUST_", "n", 6).alias("id")) \
+          .collect()
+    assert r[0].ts == dt.datetime(2024, 1, 2, 3, 4, 5) and r[1].ts is None
+    assert [x.id for x in r] == ["CUST_000042", "CUST_000007"]
+
+
+def test_at_time_of_day_and_shuffle(spark):
+    from txnrisk.operators import dashboard
+    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 2, 15, 30, 12))],
+                               "transaction_id long, t timestamp_ntz")
+    r = df.select(fx.at_time_of_day("t", 3, 15).alias("x")).first()
+    assert r.x == dt.datetime(2024, 1, 2, 3, 15)
+    ids = spark.range(20).withColumnRenamed("id", "transaction_id")
+    a = [x.transaction_id for x in dashboard.shuffled(ids).collect()]
+    b = [x.transaction_id for x in dashboard.shuffled(ids.repartition(5)).collect()]
+    assert a == b and sorted(a) == list(range(20)) and a != list(range(20))

@@ -59,3 +59,14 @@ def test_confidence_in_unit_interval_and_levels_monotone(spark, ps):
         .select(pol.risk_level("p").alias("l")).collect()
     ranks = [order.index(x.l) for x in lv]
     assert ranks == sorted(ranks)
+
+
+def test_map_confidence_and_member_score(spark):
+    df = spark.createDataFrame([({"a": 0.2, "b": 0.6}, None, 1), ({"a": 0.9}, 0.3, 0)],
+                               "m map<string,double>, proba double, pred int")
+    r = df.select(pol.map_mean("m").alias("mean"), pol.map_confidence("m").alias("s"),
+                  pol.map_confidence("m", "dashboard").alias("d"),
+                  pol.member_score("proba", "pred").alias("ms")).collect()
+    assert abs(r[0].mean - 0.4) < 1e-12 and abs(r[0].s - 1 / (1 + 0.04)) < 1e-12
+    assert r[1].s == 1.0 and r[1].d == 0.5
+    assert [x.ms for x in r] == [1.0, 0.3]

@@ -63,3 +63,10 @@ def test_preprocessor_roundtrip(spark):
     b = back.transform(t).orderBy("transaction_id").collect()
     assert a == b
     assert back.feature_columns == pre.feature_columns
+
+
+def test_feature_types(spark):
+    df = spark.createDataFrame([(1, 2.0, "x", 0, "c")],
+                               "transaction_id long, amount double, location string, is_fraud int, "
+                               "customer_id string")
+    assert state.feature_types(df) == (["amount"], ["location"])

@@ -59,6 +59,13 @@ def padded_id(prefix: str, n, width: int) -> Column:
     return F.format_string(f"{prefix}%0{width}d", c(n))
 
 
+def at_time_of_day(ts, hour, minute=0) -> Column:
+    """The same day at ``hour:minute`` (zone-free)."""
+    h = F.lit(hour) if isinstance(hour, int) else c(hour)
+    m = F.lit(minute) if isinstance(minute, int) else c(minute)
+    return F.date_trunc("day", c(ts)) + F.make_dt_interval(hours=h, mins=m)
+
+
 def hour_of(ts) -> Column:
     return F.hour(c(ts))
 

@@ -44,6 +44,13 @@ def filter_history(hist: DataFrame, levels=None, min_p: float | None = None,
     return out
 
 
+def shuffled(df: DataFrame, id_col: str = ID) -> DataFrame:
+    """A reproducible row shuffle, for outputs whose order is visible: order by
+    a hash of the id (a range-partitioned sort).  Row order has no meaning in
+    a Spark table, so nothing else needs this."""
+    return df.orderBy(F.md5(F.col(id_col).cast("string")), id_col)
+
+
 def last_n(df: DataFrame, n: int, ts: str = "event_time") -> DataFrame:
     """Newest ``n`` rows (ties broken by id): TakeOrderedAndProject, a
     per-partition top-n then one merge of at most n rows per partition."""
