@@ -70,3 +70,17 @@ def test_new_merchant_first_use(spark):
     # 1: customer's first ever; 2: seen category; 3: new category later; 4: first
     # ever (id order breaks the tie); 5: risky merchant
     assert got == {1: 0, 2: 0, 3: 1, 4: 0, 5: 1}
+
+
+def test_sized_join_broadcasts_small_side_and_not_large(spark):
+    from txnrisk.operators import joins
+    big = spark.range(5000).withColumnRenamed("id", "k")
+    small = spark.range(10).withColumnRenamed("id", "k")
+    plan_small = joins.sized_join(big, small, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan_small
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+    assert hinted(joins.sized(small))
+    assert not hinted(joins.sized(big, max_file_bytes=10))        # too large by the file check
+    assert not hinted(joins.sized(big, materialize=False, max_rows=100))   # by the row count
+    assert joins.sized_join(big, big, "k", max_file_bytes=10).count() == 5000

@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from txnrisk.session import cut_lineage
 
 BROADCAST_MAX_ROWS = 2_000_000
+# compressed Parquet bytes of a materialised side (about 10x less than its
+# in-memory hash relation)
+BROADCAST_MAX_FILE_BYTES = 32 * 1024 * 1024
 
 
 def is_small(side: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
@@ -29,16 +32,37 @@ def is_small(side: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     return side.limit(max_rows + 1).count() <= max_rows
 
 
-def sized(side: DataFrame, materialize: bool = True, max_rows: int = BROADCAST_MAX_ROWS
-          ) -> DataFrame:
-    """The side, materialised if asked, with a broadcast hint iff its row
-    count is within ``max_rows`` (the count stops at ``max_rows + 1``)."""
+def file_bytes(df: DataFrame) -> int | None:
+    """Total size of the files a scan-only DataFrame reads (driver-side
+    metadata, no job), or None when it reads none."""
+    files = df.inputFiles()
+    if not files:
+        return None
+    sc = df.sparkSession.sparkContext
+    conf = sc._jsc.hadoopConfiguration()
+    total = 0
+    for f in files:
+        p = sc._jvm.org.apache.hadoop.fs.Path(f)
+        total += p.getFileSystem(conf).getFileStatus(p).getLen()
+    return total
+
+
+def sized(side: DataFrame, materialize: bool = True, max_rows: int = BROADCAST_MAX_ROWS,
+          max_file_bytes: int = BROADCAST_MAX_FILE_BYTES) -> DataFrame:
+    """The side, materialised if asked, with a broadcast hint iff it is
+    small: a materialised side by its file size (metadata only), any other
+    side by its row count (the count stops at ``max_rows + 1``)."""
     if materialize:
         side = cut_lineage(side, "join-side")
-    return F.broadcast(side) if is_small(side, max_rows) else side
+        nbytes = file_bytes(side)
+        small = nbytes is not None and nbytes <= max_file_bytes
+    else:
+        small = is_small(side, max_rows)
+    return F.broadcast(side) if small else side
 
 
 def sized_join(rows: DataFrame, side: DataFrame, on: str | list[str] | Column,
                how: str = "left", materialize: bool = True,
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    return rows.join(sized(side, materialize, max_rows), on, how)
+               max_rows: int = BROADCAST_MAX_ROWS,
+               max_file_bytes: int = BROADCAST_MAX_FILE_BYTES) -> DataFrame:
+    return rows.join(sized(side, materialize, max_rows, max_file_bytes), on, how)
