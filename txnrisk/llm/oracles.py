@@ -75,5 +75,15 @@ SELECT conv_id, count(*) AS n_turns,
 FROM w GROUP BY conv_id"""
 
 
+WARC_STORE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT page_id, h, octet_length(encode(html)) AS n, list_aggregate(list_transform(range(32), lambda i:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, 1 + 10 * (i // 8), 10) AS BIGINT)
+    >> (35 - 5 * (i % 8))) & 31 AS INTEGER), 1)), 'string_agg', '') AS d FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM b)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM f"""
 SECRET_SCAN = _secret_scan()
 CHAT_FORMAT = _chat_format()

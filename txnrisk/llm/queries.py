@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrisk.llm import chat_format, oracles, secret_scan, simhash_dedup, source_mix
+from txnrisk.llm import chat_format, decontaminate, lang_id, oracles, quality, secret_scan, simhash_dedup, source_mix, warc_store
 from txnrisk.llm.columns import once
 from txnrisk.sources.tables import read_table
 
@@ -21,6 +21,12 @@ def query(fn: Builder) -> Builder:
     return fn
 
 
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "n_tiles", "longest")
+
+
 @query
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(read_table(spark, sf_dir, "documents"))
@@ -32,11 +38,27 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.joined(F.col("spans")).alias("spans"))
 
 
+def fold(mod: int) -> Column:
+    """The fold of a document that the contracts name: CRC-32 of its id as text."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % mod
+
+
+@query
+def op3_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(read_table(spark, sf_dir, "documents"), held_out=fold(4) == 2)
+
+
 @query
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"),
+                            held_out=fold(5) == 0)
+
+
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -56,9 +78,16 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "formatted_chars")
 
 
+@query
+def op9_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc_store.write_archives(read_table(spark, sf_dir, "pages"))
+    return warc_store.records(warc_store.read_archives(manifest))
+
+
 @query
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.dedup(read_table(spark, sf_dir, "documents"))
 
 
-ORACLES: dict[str, str] = {"op2_secret_scan": oracles.SECRET_SCAN, "op6_chat_format": oracles.CHAT_FORMAT}
+ORACLES: dict[str, str] = {"op2_secret_scan": oracles.SECRET_SCAN, "op6_chat_format": oracles.CHAT_FORMAT,
+                           "op9_warc_store": oracles.WARC_STORE}
