@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrisk.llm import chat_format, decontaminate, lang_id, oracles, quality, secret_scan, simhash_dedup, source_mix, warc_store
+from txnrisk.llm import chat_format, decontaminate, lang_id, oracles, quality, secret_scan, simhash_dedup, source_mix, suffix_dedup, vector_search, warc_store
 from txnrisk.llm.columns import once
 from txnrisk.sources.tables import read_table
 
@@ -78,6 +78,18 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "formatted_chars")
 
 
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op9_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc_store.write_archives(read_table(spark, sf_dir, "pages"))
@@ -90,4 +102,4 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES: dict[str, str] = {"op2_secret_scan": oracles.SECRET_SCAN, "op6_chat_format": oracles.CHAT_FORMAT,
-                           "op9_warc_store": oracles.WARC_STORE}
+                           "op8_vector_search": oracles.VECTOR_SEARCH, "op9_warc_store": oracles.WARC_STORE}
