@@ -33,18 +33,18 @@ def is_small(side: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
 
 
 def file_bytes(df: DataFrame) -> int | None:
-    """Total size of the files a scan-only DataFrame reads (driver-side
-    metadata, no job), or None when it reads none."""
-    files = df.inputFiles()
-    if not files:
+    """Size of the files that a scan-only DataFrame reads, from the statistics
+    that the scan already holds (no job, one call), or None for other plans."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
         return None
-    sc = df.sparkSession.sparkContext
-    conf = sc._jsc.hadoopConfiguration()
-    total = 0
-    for f in files:
-        p = sc._jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(conf).getFileStatus(p).getLen()
-    return total
+    return int(plan.stats().sizeInBytes().toString())
+
+
+def broadcast_table(table: DataFrame, max_file_bytes: int = BROADCAST_MAX_FILE_BYTES) -> DataFrame:
+    """A written table, with a broadcast hint iff its files are small."""
+    nbytes = file_bytes(table)
+    return F.broadcast(table) if nbytes is not None and nbytes <= max_file_bytes else table
 
 
 def sized(side: DataFrame, materialize: bool = True, max_rows: int = BROADCAST_MAX_ROWS,
@@ -53,12 +53,8 @@ def sized(side: DataFrame, materialize: bool = True, max_rows: int = BROADCAST_M
     small: a materialised side by its file size (metadata only), any other
     side by its row count (the count stops at ``max_rows + 1``)."""
     if materialize:
-        side = cut_lineage(side, "join-side")
-        nbytes = file_bytes(side)
-        small = nbytes is not None and nbytes <= max_file_bytes
-    else:
-        small = is_small(side, max_rows)
-    return F.broadcast(side) if small else side
+        return broadcast_table(cut_lineage(side, "join-side"), max_file_bytes)
+    return F.broadcast(side) if is_small(side, max_rows) else side
 
 
 def sized_join(rows: DataFrame, side: DataFrame, on: str | list[str] | Column,
