@@ -30,7 +30,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnrisk.llm import decontaminate, quality, secret_scan, simhash_dedup, source_mix
@@ -53,9 +53,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if again.isEmpty():
         return out
     # rows that repeat an id: the first by all columns stays
-    one = Window.partitionBy("doc_id").orderBy(*[c for c in out.columns if c != "doc_id"])
-    twice = out.join(sized(again, materialize=False), "doc_id", "left_semi").withColumn("_n", F.row_number().over(one))
-    return _without(out, again).unionByName(twice.filter("_n = 1").drop("_n"))
+    twice = out.join(sized(again, materialize=False), "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min(F.struct(*[c for c in out.columns if c != "doc_id"])).alias("row"))
+    return _without(out, again).unionByName(twice.select(
+        "doc_id", *[F.col("row")[c].alias(c) for c in out.columns if c != "doc_id"]))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txnrisk.session import cut_lineage
+
 CHUNK = 512
 
 
@@ -38,3 +40,16 @@ def once(df: DataFrame, **cols: Column) -> DataFrame:
     generator keeps them apart."""
     return df.select("*", F.inline(F.array(F.struct(
         *[c.alias(n) for n, c in cols.items()]))))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, see ``cut_lineage``; the shuffle
+    files of its job go when the job ends, not when the driver's memory is next
+    cleaned, so that large steps don't pile up on disk."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return cut_lineage(df, name)
+    finally:
+        conf.set(key, before)

@@ -52,7 +52,7 @@ def normal(text: Column) -> Column:
 def _windows(buf: np.ndarray, off: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For ranges of rows: rows, positions and hashes of all token windows, and rows' token counts."""
     for a, b in tokens.row_blocks(off):
-        h, s, _ = tokens.words(buf[off[a]:off[b]])
+        h, s, _ = tokens.words(buf[off[a]:off[b]], off[a:b] - off[a])
         first = np.searchsorted(s, off[a:b + 1] - off[a])
         g = tokens.grams(h, k)
         row = np.repeat(np.arange(a, b), np.diff(first))

@@ -78,7 +78,7 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and their features (distinct), by row, for the texts at ``off``
     (from 0).  A row without words has feature 0."""
     n_rows = len(off) - 1
-    h, s, e = tokens.words(buf)
+    h, s, e = tokens.words(buf, off[:-1])
     start = np.searchsorted(s, off)
     row = np.repeat(np.arange(n_rows), np.diff(start))
     n_words = np.diff(start)

@@ -97,7 +97,7 @@ def solve_dual(cells: DataFrame, targets: DataFrame, max_rate: float) -> DataFra
                                   F.min("q").alias("least_q"))
     limit = F.when(F.col("target") <= 0, F.lit(-math.inf)).when(
         F.col("target") >= max_rate * F.col("all"), F.lit(math.inf))
-    lo, hi = F.log(F.col("target") / F.col("base")), F.log(F.lit(max_rate) / F.col("least_q"))
+    lo, hi = F.log(F.try_divide("target", "base")), F.log(F.lit(max_rate) / F.col("least_q"))
     lam = cut_lineage(targets.select("source", "target").join(tot, on).select(
         "source", "target", lo.alias("lo"), hi.alias("hi"), F.coalesce(limit, lo).alias("lam")), "mix-dual")
     for _ in range(MAX_STEPS):
@@ -110,7 +110,7 @@ def solve_dual(cells: DataFrame, targets: DataFrame, max_rate: float) -> DataFra
         step = step.withColumn("settled", settled).withColumn(
             "lo", F.when(gap > 0, F.col("lam")).otherwise(F.col("lo"))).withColumn(
             "hi", F.when(gap < 0, F.col("lam")).otherwise(F.col("hi")))
-        newton = F.col("lam") + gap / F.nullif("slope", F.lit(0.0))
+        newton = F.col("lam") + F.try_divide(gap, F.col("slope"))
         lam = cut_lineage(step.select(
             "source", "target", "lo", "hi", "settled",
             F.when(F.col("settled"), F.col("lam"))

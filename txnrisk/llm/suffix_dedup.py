@@ -10,6 +10,8 @@ positions, about one byte in 14 is an entry, and every string of ``length``
 bytes holds one.  Entries are ordered by the hash of their first ``ANCHOR``
 bytes.
 
+0. Of equal texts only those of the smallest id go on: a later one is all
+   match, and adds none that the first doesn't give.
 1. Entries go to shards by hash.  Within a shard, batches of entries get a
    sorted array each, are scanned in step with all existing levels for equal
    heads in other documents, and become a level; levels of like size merge
@@ -21,11 +23,12 @@ bytes.
    each but those of the smallest document is a match.
 4. Documents lose the union of their matches.
 
-All four are Spark shuffles of packed blocks; a task holds one shard, and the
-number of shards follows the size of the input.
+All are Spark shuffles of packed blocks; a task holds one shard, and the number
+of shards follows the size of the input.
 
 Defined cases: a null text is empty; texts under ``length`` bytes lose nothing;
-rows that share an id never remove from each other; a null id comes after all
+rows that share an id never remove from each other (they are told apart by a
+hash of their texts, the column ``k``); a null id comes after all
 others; long texts are worked on in overlapping pieces; other columns are
 ignored; an empty table gives no rows.
 """
@@ -40,8 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.llm import tokens
-from txnrisk.operators.joins import sized
-from txnrisk.session import cut_lineage
+from txnrisk.llm.columns import written
+from txnrisk.operators.joins import broadcast_table, sized
 
 LENGTH = 50
 ANCHOR = 24
@@ -150,12 +153,12 @@ def _joined(t: pa.Table, name: str, kind) -> list[np.ndarray]:
 
 
 def entries(docs: DataFrame, shards: int, length: int = LENGTH) -> DataFrame:
-    """``docs(doc_id, t)`` to packed entries ``(shard, head, doc, pos)``; 32 bits
+    """``docs(doc_id, k, t)`` to packed entries ``(shard, head, doc, k, pos)``; 32 bits
     of a head beside the shard's are kept: a chance match costs a comparison."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            buf, off = tokens.column_bytes(b.column(1))
+            ids, ks = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            buf, off = tokens.column_bytes(b.column(2))
             for a, z, lo, hi in _pieces(off, length):
                 own = np.clip(off[a:z + 1], lo, hi) - lo
                 at, h = anchors(buf[lo:hi], own, length)
@@ -163,17 +166,18 @@ def entries(docs: DataFrame, shards: int, length: int = LENGTH) -> DataFrame:
                     continue
                 row = np.searchsorted(own, at, side="right") - 1 + a
                 pos = (at + lo - off[row]).astype(np.int32)
-                rows = [*_packed((h >> np.uint64(32)).astype(np.int64) % shards, h.astype(np.uint32), ids[row], pos)]
+                rows = [*_packed((h >> np.uint64(32)).astype(np.int64) % shards, h.astype(np.uint32), ids[row], ks[row], pos)]
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows]), *[
-                    pa.array([c[i] for _, c in rows], pa.binary()) for i in range(3)]], ["shard", "head", "doc", "pos"])
+                    pa.array([c[i] for _, c in rows], pa.binary()) for i in range(4)]], ["shard", "head", "doc", "k", "pos"])
 
-    return docs.mapInArrow(run, "shard long, head binary, doc binary, pos binary")
+    return docs.mapInArrow(run, "shard long, head binary, doc binary, k binary, pos binary")
 
 
 def shared_entries(packed: DataFrame) -> DataFrame:
-    """``(doc_id, pos)`` of entries whose head several documents have."""
+    """``(doc_id, k, pos)`` of entries whose head several documents have."""
     def run(t: pa.Table) -> pa.Table:
-        heads, docs, places = _joined(t, "head", np.uint32), _joined(t, "doc", np.int64), _joined(t, "pos", np.int32)
+        heads, docs = _joined(t, "head", np.uint32), _joined(t, "doc", np.int64)
+        ks, places = _joined(t, "k", np.int64), _joined(t, "pos", np.int32)
         family, held, size = Family(), [], 0
         for i, h in enumerate(heads):
             held.append(i)
@@ -182,33 +186,27 @@ def shared_entries(packed: DataFrame) -> DataFrame:
                 family.add(np.concatenate([heads[j] for j in held]), np.concatenate([docs[j] for j in held]))
                 held, size = [], 0
         known = family.shared_heads()
-        out_doc, out_pos = [], []
-        for h, d, p in zip(heads, docs, places):
-            if len(known):
-                hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-                out_doc.append(d[hit])
-                out_pos.append(p[hit])
-        cat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0, kind))
-        return pa.table({"doc_id": cat(out_doc, np.int64), "pos": cat(out_pos, np.int32)})
+        hits = [known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+                for h in heads]
+        return pa.table({n: pa.array(np.concatenate([x[hit] for x, hit in zip(c, hits)]))
+                         for n, c in (("doc_id", docs), ("k", ks), ("pos", places))})
 
-    return packed.groupBy("shard").applyInArrow(run, "doc_id long, pos int")
+    return packed.groupBy("shard").applyInArrow(run, "doc_id long, k long, pos int")
 
 
 def cut_outs(texts: DataFrame, shards: int, length: int = LENGTH) -> DataFrame:
-    """``texts(doc_id, t, pos)`` to packed ``(shard, head, doc, pos, left, right,
-    cut)``: the bytes around each position, ``length - ANCHOR`` to each side
+    """``texts(doc_id, k, t, pos)`` to packed ``(shard, head, doc, k, pos, left,
+    right, cut)``: the bytes around each position, ``length - ANCHOR`` to each side
     where the text has them."""
     side = length - ANCHOR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            buf, off = tokens.column_bytes(b.column(1))
-            places = b.column(2)
+            ids, ks = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            buf, off = tokens.column_bytes(b.column(2))
+            places = b.column(3)
             n = np.diff(np.frombuffer(places.buffers()[1], np.int32)[places.offset:places.offset + len(places) + 1])
             row, pos = np.repeat(np.arange(len(ids)), n), places.flatten().to_numpy().astype(np.int64)
-            fits = pos + ANCHOR <= np.diff(off)[row]  # another row of the same id may be shorter
-            row, pos = row[fits], pos[fits]
             for a in range(0, len(row), SHARD_CUTS):
                 r, p = row[a:a + SHARD_CUTS], pos[a:a + SHARD_CUTS]
                 left = np.minimum(p, side)
@@ -221,23 +219,23 @@ def cut_outs(texts: DataFrame, shards: int, length: int = LENGTH) -> DataFrame:
                 h = tokens.mix(h)
                 reach = np.arange(-side, length)
                 cut[(reach < -left[:, None]) | (reach >= ANCHOR + right[:, None])] = 0
-                rows = [*_packed((h >> np.uint64(32)).astype(np.int64) % shards, h, ids[r], p.astype(np.int32),
+                rows = [*_packed((h >> np.uint64(32)).astype(np.int64) % shards, h, ids[r], ks[r], p.astype(np.int32),
                                  left.astype(np.uint8), right.astype(np.uint8), cut)]
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows]), *[
-                    pa.array([c[i] for _, c in rows], pa.binary()) for i in range(6)]],
-                    ["shard", "head", "doc", "pos", "left", "right", "cut"])
+                    pa.array([c[i] for _, c in rows], pa.binary()) for i in range(7)]],
+                    ["shard", "head", "doc", "k", "pos", "left", "right", "cut"])
 
-    return texts.mapInArrow(run, "shard long, head binary, doc binary, pos binary, left binary, right binary, cut binary")
+    return texts.mapInArrow(run, "shard long, head binary, doc binary, k binary, pos binary, left binary, right binary, cut binary")
 
 
 def matches(packed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``(doc_id, pos, starts)``: bit o of ``starts`` says that the string of
+    """``(doc_id, k, pos, starts)``: bit o of ``starts`` says that the string of
     ``length`` bytes from ``pos - (length - ANCHOR) + o`` also starts in a smaller document."""
     side = length - ANCHOR
 
     def run(t: pa.Table) -> pa.Table:
         cat = lambda name, kind: np.concatenate(_joined(t, name, kind))
-        head, doc, pos = cat("head", np.uint64), cat("doc", np.int64), cat("pos", np.int32)
+        head, doc, k, pos = cat("head", np.uint64), cat("doc", np.int64), cat("k", np.int64), cat("pos", np.int32)
         left, right = cat("left", np.uint8).astype(int), cat("right", np.uint8).astype(int)
         cut = cat("cut", np.uint8).reshape(len(head), length + side)
         lone = np.zeros(len(head), np.int64)
@@ -254,16 +252,17 @@ def matches(packed: DataFrame, length: int = LENGTH) -> DataFrame:
                 if len(ok):
                     key = tokens.mix(h[ok]) ^ head[order[ok]]
                     by = np.lexsort((doc[order[ok]], key))
-                    k, d = key[by], doc[order[ok]][by]
-                    start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-                    least = np.repeat(d[start], np.diff(np.append(start, len(k))))
+                    key, d = key[by], doc[order[ok]][by]
+                    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                    least = np.repeat(d[start], np.diff(np.append(start, len(key))))
                     lone[order[ok][by[d > least]]] |= 1 << o
                 if o < side:
                     h = h * base + x[:, o + length] - x[:, o] * out
         hit = np.flatnonzero(lone)
-        return pa.table({"doc_id": pa.array(doc[hit]), "pos": pa.array(pos[hit]), "starts": pa.array(lone[hit])})
+        return pa.table({"doc_id": pa.array(doc[hit]), "k": pa.array(k[hit]), "pos": pa.array(pos[hit]),
+                         "starts": pa.array(lone[hit])})
 
-    return packed.groupBy("shard").applyInArrow(run, "doc_id long, pos int, starts long")
+    return packed.groupBy("shard").applyInArrow(run, "doc_id long, k long, pos int, starts long")
 
 
 def _head_groups(head: np.ndarray, rows: int = SHARD_CUTS) -> Iterator[np.ndarray]:
@@ -279,16 +278,20 @@ def _head_groups(head: np.ndarray, rows: int = SHARD_CUTS) -> Iterator[np.ndarra
 
 
 def remove(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``texts(doc_id, t, found array<struct<pos, starts>>)`` to ``(doc_id,
+    """``texts(doc_id, t, copy, found array<struct<pos, starts>>)`` to ``(doc_id,
     n_bytes, spans, kept)``: removed runs and the bytes left."""
     side = length - ANCHOR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, ts, found = b.column(0), b.column(1), b.column(2)
+            ids, ts, copies, found = (b.column(i) for i in range(4))
             spans, kept = [], []
-            for t, f in zip(ts, found):
+            for t, copy, f in zip(ts, copies.to_pylist(), found):
                 data = t.as_buffer()
+                if copy and data.size >= length:
+                    spans.append([{"start": 0, "end": data.size}])
+                    kept.append(b"")
+                    continue
                 if not f.is_valid or not len(f):
                     spans.append([])
                     kept.append(data)
@@ -298,7 +301,6 @@ def remove(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 bits = (v.field("starts").to_numpy()[:, None] >> np.arange(side + 1)) & 1
                 r, o = np.nonzero(bits)
                 starts = np.unique(pos[r] + o)
-                starts = starts[(starts >= 0) & (starts + length <= data.size)]
                 new = np.flatnonzero(np.append(True, starts[1:] > starts[:-1] + length))
                 lo, hi = starts[new], np.append(starts[new[1:] - 1], starts[-1]) + length
                 view = memoryview(data)
@@ -319,12 +321,25 @@ def dedup(docs: DataFrame, length: int = LENGTH, doc: str = "doc_id", text: str
         raise ValueError(f"length must be over {ANCHOR} and at most {ANCHOR + 62} bytes")
     rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID)).alias("doc_id"),
                        F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    names = written(rows.select("doc_id", F.xxhash64("t").alias("k"), F.sha2("t", 256).alias("text_hash"),
+                                F.octet_length("t").alias("n")), "suffix-texts")
+    if names.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        names, rows = names.withColumn("k", F.lit(0).cast("long")), rows.withColumn("k", F.lit(0).cast("long"))
+    else:
+        rows = rows.withColumn("k", F.xxhash64("t"))
+    first = names.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    copies = written(names.join(sized(first.select("text_hash", "first")), "text_hash").filter(
+        "doc_id > first").select("doc_id", "k", F.lit(True).alias("copy")).distinct(), "suffix-copies")
+    own = rows.join(broadcast_table(copies), ["doc_id", "k"], "left_anti").select("doc_id", "k", "t")
+    total = names.agg(F.sum("n")).first()[0] or 0
     shards = max(32, -(-2 * total // (length - ANCHOR + 2) // SHARD_ENTRIES))
-    shared = cut_lineage(shared_entries(entries(rows, shards, length)), "suffix-shared")
-    n = shared.count()
-    places = shared.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
-    cuts = cut_outs(rows.join(places, "doc_id").select("doc_id", "t", "pos"), max(32, -(-n // SHARD_CUTS)), length)
-    found = matches(cuts, length).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "starts")).alias("found"))
-    out = remove(rows.join(sized(found), "doc_id", "left").select("doc_id", "t", "found"), length)
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    shared = written(shared_entries(entries(own, shards, length)), "suffix-shared")
+    places = shared.groupBy("doc_id", "k").agg(F.collect_list("pos").alias("pos"))
+    cuts = cut_outs(own.join(places, ["doc_id", "k"]).select("doc_id", "k", "t", "pos"),
+                    max(32, -(-shared.count() // SHARD_CUTS)), length)
+    found = written(matches(cuts, length).groupBy("doc_id", "k").agg(
+        F.collect_list(F.struct("pos", "starts")).alias("found")), "suffix-found")
+    out = rows.join(broadcast_table(copies), ["doc_id", "k"], "left").join(
+        broadcast_table(found), ["doc_id", "k"], "left")
+    return remove(out.select("doc_id", "t", "copy", "found"), length).withColumn(
+        "doc_id", F.nullif("doc_id", F.lit(NO_ID)))

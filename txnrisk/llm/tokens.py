@@ -51,31 +51,34 @@ def row_blocks(off: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]
         a = b
 
 
-def _piece(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words of one piece; blanks (<= 32) separate."""
+def _piece(buf: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of one piece; blanks (<= 32) and
+    the starts of ``rows`` separate."""
     if not _cache:
         _cache.extend(_tables())
     code, up, down = _cache
     word = buf > 32
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
+    goes_on = np.append(False, word[:-1] & word[1:])  # whether the byte before is of the same word
+    goes_on[rows[rows < len(buf)]] = False
+    starts, ends = np.flatnonzero(word & ~goes_on), np.flatnonzero(word & ~np.append(goes_on[1:], False)) + 1
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(code[buf] * up[:len(buf)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts]), starts, ends
 
 
-def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of all words of ``buf``, which may be long: it is
-    cut at blanks (a single word over ``BLOCK`` bytes counts as several)."""
+def words(buf: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of all words of ``buf``, whose rows start at
+    ``rows``.  A long buffer (one row, see ``row_blocks``) is cut at blanks; a
+    single word over ``BLOCK`` bytes counts as several."""
     if len(buf) <= BLOCK:
-        return _piece(buf)
+        return _piece(buf, rows) if len(buf) else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     out, at = [], 0
     while at < len(buf):
         end = min(len(buf), at + BLOCK)
         if end < len(buf):
             blank = np.flatnonzero(buf[at:end] <= 32)
             end = at + int(blank[-1]) + 1 if len(blank) else end
-        h, s, e = _piece(buf[at:end])
+        h, s, e = _piece(buf[at:end], rows[:0])
         out.append((h, s + at, e + at))
         at = end
     return tuple(np.concatenate(x) for x in zip(*out))
