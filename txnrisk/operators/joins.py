@@ -38,7 +38,7 @@ def file_bytes(df: DataFrame) -> int | None:
     plan = df._jdf.queryExecution().optimizedPlan()
     if plan.getClass().getSimpleName() != "LogicalRelation":
         return None
-    return int(plan.stats().sizeInBytes().toString())
+    return int(str(plan.stats().sizeInBytes()))
 
 
 def broadcast_table(table: DataFrame, max_file_bytes: int = BROADCAST_MAX_FILE_BYTES) -> DataFrame:
