@@ -34,7 +34,7 @@ from txnrisk.session import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 TOLERANCE = 1e-9
 MAX_STEPS = 60
-ROUNDING_BUCKET_ROWS = 50_000
+ROUNDING_BUCKET_ROWS = 2_000
 FIXES = 4
 
 
