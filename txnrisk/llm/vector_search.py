@@ -41,7 +41,7 @@ from txnrisk.session import cut_lineage
 
 K = 5
 SCALE = 256
-PAGE = 64
+PAGE = 512
 SHARD_ROWS = 4096
 QUERY_BLOCK = 4096
 SLACK = 1e-9
@@ -82,13 +82,13 @@ class Tree:
         """Page over ``rows`` below ``router``; its number and covering radius."""
         if len(rows) <= page:
             return self._leaf(x, rows, router)
-        centers = x[rng.choice(rows, page, replace=False)]
-        far = _distances(x[rows], centers)
-        near = far.argmin(1)
-        if (np.bincount(near, minlength=page) == len(rows)).any():  # points alike: cut anywhere
-            near = np.arange(len(rows)) * page // len(rows)
+        parts = min(page, -(-2 * len(rows) // page))  # children about half full
+        centers = x[rng.choice(rows, parts, replace=False)]
+        near = _distances(x[rows], centers).argmin(1)
+        if (np.bincount(near, minlength=parts) == len(rows)).any():  # points alike: cut anywhere
+            near = np.arange(len(rows)) * parts // len(rows)
         entries = []
-        for c in range(page):
+        for c in range(parts):
             mine = rows[near == c]
             if len(mine):
                 child, radius = self._grow(x, mine, centers[c], page, rng)
@@ -130,31 +130,34 @@ def best_first(pages: dict[int, dict], root: int, q: np.ndarray, own: int, k: in
         if least > limit():
             break
         p = pages[number]
-        at = np.arange(len(p["v"]))
+        v, at = p["v"], None
         if d_router is not None:  # stored distances first
-            at = np.flatnonzero(np.abs(d_router - p["to"]) - p["radius"] <= limit())
-        if not len(at):
-            continue
-        v = p["v"][at]
+            may = np.abs(d_router - p["to"]) - p["radius"] <= limit()
+            n = np.count_nonzero(may)
+            if not n:
+                continue
+            if 4 * n < len(v):  # worth a copy of the few rows left
+                at = np.flatnonzero(may)
+                v = v[at]
+        dot = v @ q  # the query's further coordinate is 0
         if p["leaf"]:
-            score = v[:, :-1] @ q[:-1]
-            if len(best) == k:
-                keep = score >= best[0][0]
-                at, score = at[keep], score[keep]
-            for s, row in zip(score, at):
-                for i in p["ids"][row]:
+            rows = np.flatnonzero(dot >= best[0][0]) if len(best) == k else np.arange(len(dot))
+            for s, row in zip(dot[rows].tolist(), rows.tolist()):
+                for i in p["ids"][row if at is None else at[row]]:
                     if i == own:
                         continue
-                    item = (int(s), -int(i))
+                    item = (int(s), -i)
                     if len(best) < k:
                         heapq.heappush(best, item)
                     elif item > best[0]:
                         heapq.heapreplace(best, item)
         else:
-            d = np.sqrt(np.maximum(qq + (v * v).sum(1) - 2.0 * v @ q, 0.0))
-            low, most = np.maximum(d - p["radius"][at], 0.0), limit()
-            for i in np.flatnonzero(low <= most):
-                heapq.heappush(heap, (float(low[i]), int(p["child"][at[i]]), float(d[i])))
+            norms, radius, child = (p["norms"], p["radius"], p["child"]) if at is None else (
+                p["norms"][at], p["radius"][at], p["child"][at])
+            d = np.sqrt(np.maximum(qq + norms - 2.0 * dot, 0.0))
+            low = np.maximum(d - radius, 0.0)
+            for i in np.flatnonzero(low <= limit()).tolist():
+                heapq.heappush(heap, (float(low[i]), int(child[i]), float(d[i])))
     return [(s, -i) for s, i in best]
 
 
@@ -198,7 +201,8 @@ def _load(t: pa.Table) -> tuple[dict[int, dict], int, int]:
                 ids.append([])
             else:
                 ids[-1].append(i)
-        pages[number] = {"leaf": r["leaf"], "ids": ids, "v": np.frombuffer(r["vectors"]).reshape(-1, dim + 1),
+        v = np.frombuffer(r["vectors"]).reshape(-1, dim + 1)
+        pages[number] = {"leaf": r["leaf"], "ids": ids, "v": v, "norms": (v * v).sum(1),
                          "to": np.array(r["to_router"]), "radius": np.array(r["radius"]), "child": np.array(r["child"], np.int32)}
     return pages, root, dim
 
