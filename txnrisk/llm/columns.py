@@ -53,3 +53,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
         return cut_lineage(df, name)
     finally:
         conf.set(key, before)
+
+
+#: Rows of an Arrow batch that holds whole texts.
+TEXT_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session has been told to hand texts to Python
+    ``TEXT_ROWS`` at a time: executors hold a batch several times over on both
+    sides of the pipe.  The setting stays, as frames are lazy."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, TEXT_ROWS)
+    return df

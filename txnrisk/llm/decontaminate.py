@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.llm import tokens
+from txnrisk.llm.columns import small_batches
 from txnrisk.session import cut_lineage
 
 MIN_MATCH = 5
@@ -99,7 +100,7 @@ def seed_hits(docs: DataFrame, known: np.ndarray, k: int, doc: str, text: str) -
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), *lists], ["doc_id", "pos", "seed"])
 
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), normal(F.col(text)).alias("t"))
-    return cut_lineage(rows.mapInArrow(run, "doc_id long, pos array<int>, seed array<long>").withColumn(
+    return cut_lineage(small_batches(rows).mapInArrow(run, "doc_id long, pos array<int>, seed array<long>").withColumn(
         "row", F.monotonically_increasing_id()), "gst-hits")
 
 

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txnrisk.llm.columns import small_batches
 from txnrisk.llm.tokens import column_bytes, row_blocks
 
 BUCKETS = 1 << 14
@@ -86,7 +87,7 @@ def count_grams(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at)), pa.array(at), pa.array(n[at])], ["lang", "gram", "n"])
 
-    return docs.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return small_batches(docs).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def codewords(k: int, seed: int = 3) -> np.ndarray:
@@ -183,7 +184,7 @@ def predict(docs: DataFrame, model: Model, ambiguous: float = AMBIGUOUS) -> Data
                 [b.column(0), b.column(3), pa.array(pred, pa.string()), pa.array(score),
                  pa.array(letters & (score < ambiguous))], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return small_batches(docs).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def identify(docs: DataFrame, held_out: Column, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

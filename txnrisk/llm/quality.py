@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.llm import tokens
+from txnrisk.llm.columns import small_batches
 from txnrisk.llm.tokens import column_bytes, row_blocks
 from txnrisk.operators.joins import sized
 from txnrisk.session import cut_lineage
@@ -119,7 +120,7 @@ def labelled_features(rows: DataFrame) -> DataFrame:
                     [b.column(1).slice(a, z - a), b.column(2).slice(a, z - a),
                      pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(f.astype(np.int32)))], ["y", "part", "f"])
 
-    return rows.mapInArrow(run, "y int, part double, f array<int>")
+    return small_batches(rows).mapInArrow(run, "y int, part double, f array<int>")
 
 
 def _lists(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +254,7 @@ def score(rows: DataFrame, model: tuple, threshold: float = THRESHOLD) -> DataFr
                     [b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), pa.array(p),
                      pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return small_batches(rows).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def learn(docs: DataFrame, labels: DataFrame, held_out: Column, doc: str = "doc_id", text: str = "text",

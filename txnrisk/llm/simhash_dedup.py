@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txnrisk.llm.columns import small_batches
 from txnrisk.session import cut_lineage
 
 WORDS = 3
@@ -87,7 +88,7 @@ def fingerprints(docs: DataFrame, shingle: int = WORDS, doc: str = "doc_id", tex
 
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return small_batches(rows).mapInArrow(run, "doc_id long, fp long")
 
 
 def _blocks(bits: list[int], parts: int) -> list[list[int]]:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.llm import tokens
-from txnrisk.llm.columns import written
+from txnrisk.llm.columns import small_batches, written
 from txnrisk.operators.joins import broadcast_table, sized
 
 LENGTH = 50
@@ -170,7 +170,7 @@ def entries(docs: DataFrame, shards: int, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows]), *[
                     pa.array([c[i] for _, c in rows], pa.binary()) for i in range(4)]], ["shard", "head", "doc", "k", "pos"])
 
-    return docs.mapInArrow(run, "shard long, head binary, doc binary, k binary, pos binary")
+    return small_batches(docs).mapInArrow(run, "shard long, head binary, doc binary, k binary, pos binary")
 
 
 def shared_entries(packed: DataFrame) -> DataFrame:
