@@ -53,6 +53,8 @@ SHARD_ENTRIES = 400_000
 SHARD_CUTS = 40_000
 BATCH = 1 << 16
 NO_ID = (1 << 63) - 1
+#: Files of a table of spans that may be broadcast; in memory it is many times as large.
+SPANS_MAX_FILE_BYTES = 4 << 20
 
 
 def head_hashes(buf: np.ndarray, n: int = ANCHOR) -> np.ndarray:
@@ -277,42 +279,47 @@ def _head_groups(head: np.ndarray, rows: int = SHARD_CUTS) -> Iterator[np.ndarra
             a = end
 
 
-def remove(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``texts(doc_id, t, copy, found array<struct<pos, starts>>)`` to ``(doc_id,
-    n_bytes, spans, kept)``: removed runs and the bytes left."""
+SPANS = "array<struct<start:long,end:long>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def runs(found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``(doc_id, k, spans)``: the union of each document's matches."""
     side = length - ANCHOR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, ts, copies, found = (b.column(i) for i in range(4))
-            spans, kept = [], []
-            for t, copy, f in zip(ts, copies.to_pylist(), found):
-                data = t.as_buffer()
-                if copy and data.size >= length:
-                    spans.append([{"start": 0, "end": data.size}])
-                    kept.append(b"")
-                    continue
-                if not f.is_valid or not len(f):
-                    spans.append([])
-                    kept.append(data)
-                    continue
+            spans = []
+            for f in b.column(2):
                 v = f.values
-                pos = v.field("pos").to_numpy().astype(np.int64) - side
                 bits = (v.field("starts").to_numpy()[:, None] >> np.arange(side + 1)) & 1
                 r, o = np.nonzero(bits)
-                starts = np.unique(pos[r] + o)
+                starts = np.unique(v.field("pos").to_numpy().astype(np.int64)[r] - side + o)
                 new = np.flatnonzero(np.append(True, starts[1:] > starts[:-1] + length))
-                lo, hi = starts[new], np.append(starts[new[1:] - 1], starts[-1]) + length
-                view = memoryview(data)
-                kept.append(b"".join(view[x:y] for x, y in zip(np.append(0, hi), np.append(lo, data.size))))
-                spans.append([{"start": int(x), "end": int(y)} for x, y in zip(lo, hi)])
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([t.as_buffer().size for t in ts], pa.int64()),
-                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                 pa.array([bytes(x) if not isinstance(x, bytes) else x for x in kept], pa.binary())],
-                ["doc_id", "n_bytes", "spans", "kept"])
+                ends = np.append(starts[new[1:] - 1], starts[-1]) + length
+                spans.append([{"start": x, "end": y} for x, y in zip(starts[new].tolist(), ends.tolist())])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, _SPANS)], ["doc_id", "k", "spans"])
+
+    lists = found.groupBy("doc_id", "k").agg(F.collect_list(F.struct("pos", "starts")).alias("found"))
+    return lists.mapInArrow(run, f"doc_id long, k long, spans {SPANS}")
+
+
+def remove(texts: DataFrame) -> DataFrame:
+    """``texts(doc_id, t, spans)`` to ``(doc_id, n_bytes, spans, kept)``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept, sizes = [], []
+            for t, spans in zip(b.column(1), b.column(2).to_pylist()):
+                view, at, parts = memoryview(t.as_buffer()), 0, []
+                for s in spans:
+                    parts.append(view[at:s["start"]])
+                    at = s["end"]
+                kept.append(b"".join((*parts, view[at:])))
+                sizes.append(len(view))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), b.column(2), pa.array(kept, pa.binary())],
+                                             ["doc_id", "n_bytes", "spans", "kept"])
 
-    return texts.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return small_batches(texts).mapInArrow(run, f"doc_id long, n_bytes long, spans {SPANS}, kept binary")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -337,9 +344,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, doc: str = "doc_id", text: str
     places = shared.groupBy("doc_id", "k").agg(F.collect_list("pos").alias("pos"))
     cuts = cut_outs(own.join(places, ["doc_id", "k"]).select("doc_id", "k", "t", "pos"),
                     max(32, -(-shared.count() // SHARD_CUTS)), length)
-    found = written(matches(cuts, length).groupBy("doc_id", "k").agg(
-        F.collect_list(F.struct("pos", "starts")).alias("found")), "suffix-found")
+    found = written(runs(matches(cuts, length), length), "suffix-found")
     out = rows.join(broadcast_table(copies), ["doc_id", "k"], "left").join(
-        broadcast_table(found), ["doc_id", "k"], "left")
-    return remove(out.select("doc_id", "t", "copy", "found"), length).withColumn(
+        broadcast_table(found, SPANS_MAX_FILE_BYTES), ["doc_id", "k"], "left")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("t").cast("long").alias("end")))
+    spans = F.when(F.col("copy") & (F.octet_length("t") >= length), whole).otherwise(
+        F.coalesce("spans", F.array().cast(SPANS.replace(":long", ":bigint"))))
+    return remove(out.select("doc_id", "t", spans.alias("spans"))).withColumn(
         "doc_id", F.nullif("doc_id", F.lit(NO_ID)))
