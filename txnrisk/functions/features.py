@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.operators import keyed
+from txnrisk.operators.joins import broadcast_table
 
 # --- fixed values (must equal the reference's) -------------------------------
 HIGH_RISK_LOCATIONS = ["international"]
@@ -27,26 +28,25 @@ def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-# money is exact to 4 decimal places; means of money are computed on decimals
+# money is exact to 8 decimal places and up to 10^20; means of money are computed on decimals
 # (one HALF_UP rounding at 8 places), so equal inputs give equal doubles on
 # every engine whatever the summation order
-MONEY = "decimal(18,4)"
+MONEY = "decimal(28,8)"
 MEAN_SCALE = 8
 
 
 def money_avg(x) -> Column:
-    return F.avg(c(x).cast(MONEY)).cast("double")
-
-
-def money_mean(total, n) -> Column:
-    """``total`` (exact decimal sum) / ``n``, HALF_UP at 8 places, as double."""
-    total = c(total).cast("decimal(28,4)")  # keeps >= 8 places after the division
-    return F.round(total / c(n).cast("decimal(10,0)"), MEAN_SCALE).cast("double")
+    return F.round(F.avg(c(x).cast(MONEY)), MEAN_SCALE).cast("double")
 
 
 def nan_to_null(x) -> Column:
     """NaN is larger than every number in Spark; the reference treats it as missing."""
-    return F.nanvl(c(x), F.lit(None).cast("double"))
+    return F.nanvl(c(x).cast("double"), F.lit(None).cast("double"))
+
+
+def flag(condition: Column) -> Column:
+    """1 or 0; a condition on a missing value is not met."""
+    return F.coalesce(condition.cast("int"), F.lit(0))
 
 
 def parse_timestamp(x) -> Column:
@@ -75,16 +75,16 @@ def day_of_week(ts) -> Column:
 
 
 def is_weekend(ts) -> Column:
-    return day_of_week(ts).isin(*WEEKEND_DAYS).cast("int")
+    return flag(day_of_week(ts).isin(*WEEKEND_DAYS))
 
 
 def is_night(ts) -> Column:
     h = hour_of(ts)
-    return ((h >= NIGHT_FROM_HOUR) | (h <= NIGHT_TO_HOUR)).cast("int")
+    return flag((h >= NIGHT_FROM_HOUR) | (h <= NIGHT_TO_HOUR))
 
 
 def is_business_hours(ts) -> Column:
-    return hour_of(ts).between(BUSINESS_FROM_HOUR, BUSINESS_TO_HOUR).cast("int")
+    return flag(hour_of(ts).between(BUSINESS_FROM_HOUR, BUSINESS_TO_HOUR))
 
 
 def log_amount(amount) -> Column:
@@ -94,7 +94,7 @@ def log_amount(amount) -> Column:
 def amount_category(amount) -> Column:
     """Right-closed bins; amount <= 0 or NULL gives NULL (``Bucketizer`` is
     left-closed, so it is not used)."""
-    a = c(amount)
+    a = nan_to_null(amount)
     expr = F.when(a <= AMOUNT_BIN_EDGES[0], None)
     for edge, label in zip(AMOUNT_BIN_EDGES[1:], AMOUNT_BIN_LABELS[:-1]):
         expr = expr.when(a <= edge, label)
@@ -114,15 +114,15 @@ def balance_impact(amount, balance) -> Column:
 
 
 def is_high_risk_location(location) -> Column:
-    return c(location).isin(*HIGH_RISK_LOCATIONS).cast("int")
+    return flag(c(location).isin(*HIGH_RISK_LOCATIONS))
 
 
 def is_high_risk_merchant(merchant) -> Column:
-    return c(merchant).isin(*HIGH_RISK_MERCHANTS).cast("int")
+    return flag(c(merchant).isin(*HIGH_RISK_MERCHANTS))
 
 
 def is_mobile_device(device) -> Column:
-    return (c(device) == "mobile").cast("int")
+    return flag(c(device) == "mobile")
 
 
 def amount_deviation(amount, mean, std) -> Column:
@@ -130,7 +130,7 @@ def amount_deviation(amount, mean, std) -> Column:
 
 
 def is_amount_above_avg(amount, mean) -> Column:
-    return F.coalesce((c(amount) > c(mean)).cast("int"), F.lit(0))
+    return flag((c(amount) > c(mean)) & ~F.isnan(c(amount)))
 
 
 def clamp(x, lo=None, hi=None) -> Column:
@@ -148,9 +148,12 @@ TIME_FEATURES = ["hour", "day_of_week", "is_weekend", "is_night", "is_business_h
 CUSTOMER_FEATURES = ["customer_transaction_count", "customer_avg_amount", "customer_amount_std"]
 
 
-def derive_features(df: DataFrame, ts: str = "event_time", key: str = "customer_id") -> DataFrame:
+def derive_features(df: DataFrame, ts: str = "event_time", key: str = "customer_id",
+                    profile: DataFrame | None = None) -> DataFrame:
     """All derived features (time, amount, ratios, flags, per-customer
-    behaviour).  Each group is added only if its inputs are present."""
+    behaviour).  Each group is added only if its inputs are present.  With
+    ``profile``, a fitted table of customer statistics, those are joined
+    instead of being computed from ``df``'s own rows."""
     cols = set(df.columns)
     out = df
     if ts in cols:
@@ -173,7 +176,8 @@ def derive_features(df: DataFrame, ts: str = "event_time", key: str = "customer_
     if "device_type" in cols:
         out = out.withColumn("is_mobile_device", is_mobile_device("device_type"))
     if key in cols and "amount" in cols:
-        out = keyed.attach_key_stats(out, key, "amount", *CUSTOMER_FEATURES)
+        out = (keyed.attach_key_stats(out, key, "amount", *CUSTOMER_FEATURES) if profile is None
+               else out.join(broadcast_table(profile), key, "left"))
         out = out.withColumns({
             "amount_deviation": amount_deviation("amount", "customer_avg_amount",
                                                  "customer_amount_std"),

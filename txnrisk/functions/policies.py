@@ -126,13 +126,15 @@ def minmax_inverted(score, lo, hi) -> Column:
     0 when the fitted range is flat."""
     rng = c(hi) - c(lo)
     v = 1.0 - (c(score) - c(lo)) / rng
-    return F.when(rng == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)))
+    return F.when(c(score).isNull(), F.lit(None)).when(rng == 0, F.lit(0.0)).otherwise(
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)))
 
 
 def max_scaled(err, mx) -> Column:
     """err / fitted max, clipped to [0, 1]; 0 when the fitted max is 0."""
     v = c(err) / c(mx)
-    return F.when(c(mx) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)))
+    return F.when(c(err).isNull(), F.lit(None)).when(c(mx) == 0, F.lit(0.0)).otherwise(
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)))
 
 
 def row_color(level) -> Column:

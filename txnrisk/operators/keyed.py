@@ -14,7 +14,8 @@ partitioned by the customer alone over raw rows:
   key is spread over its buckets.
 * trailing-interval counts use bucket = interval width: every row also casts a
   "shadow" one interval later, so all rows inside ``[t - w, t]`` meet inside a
-  single ``(key, bucket)`` partition.  Exact, no pairs are emitted.
+  single ``(key, bucket)`` partition.  Rows are first summed to distinct times,
+  so a busy bucket holds its times, not its rows.  Exact, no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnrisk.operators.joins import sized_join
+from txnrisk.operators.joins import sized, sized_join
 
 
-MONEY = "decimal(18,4)"
+MONEY = "decimal(28,8)"
 
 
 def key_stats(df: DataFrame, key: str, value: str, n: str = "n", mean: str = "mean",
@@ -34,7 +35,7 @@ def key_stats(df: DataFrame, key: str, value: str, n: str = "n", mean: str = "me
     The mean is exact on money decimals (see ``features.money_avg``)."""
     return (df.groupBy(key)
             .agg(F.count(value).alias(n),
-                 F.avg(F.col(value).cast(MONEY)).cast("double").alias(mean),
+                 F.round(F.avg(F.col(value).cast(MONEY)), 8).cast("double").alias(mean),
                  F.stddev_samp(value).alias(std)))
 
 
@@ -86,10 +87,11 @@ def asof_stats(df: DataFrame, key: str, ts: str, tiebreak: str, value: str,
         F.coalesce(F.sum("_tn").over(prev_w), F.lit(0)).alias("_on"),
         F.coalesce(F.sum("_ts").over(prev_w), F.lit(0).cast(MONEY)).alias("_os"),
         F.coalesce(F.sum("_tq").over(prev_w), F.lit(0.0)).alias("_oq"))
-    out = rows.join(offsets, on=[key, b], how="left")
+    # null-safe on the bucket: rows without a time are a bucket of their own
+    offsets = offsets.withColumnRenamed(key, "_ok").withColumnRenamed(b, "_ob")
+    out = rows.join(offsets, (F.col(key) == F.col("_ok")) & F.col(b).eqNullSafe(F.col("_ob")), "left").drop("_ok", "_ob")
     cnt = F.col("_ln") + F.col("_on")
-    # exact decimal sum; 24 integer digits keep 14 places in the division
-    s = (F.col("_ls") + F.col("_os")).cast("decimal(28,4)")
+    s = (F.col("_ls") + F.col("_os")).cast("decimal(32,8)")   # exact; the division keeps 14 places
     sd = s.cast("double")
     q = F.col("_lq") + F.col("_oq")
     var = F.greatest(F.lit(0.0), (q - sd * sd / cnt) / (cnt - 1))
@@ -97,7 +99,7 @@ def asof_stats(df: DataFrame, key: str, ts: str, tiebreak: str, value: str,
     return (out
             .withColumn(n, F.when(has_key, cnt))
             .withColumn(mean, F.when(has_key & (cnt > 0), F.round(
-                s / cnt.cast("decimal(10,0)"), 8).cast("double")))
+                s / cnt.cast("decimal(14,0)"), 8).cast("double")))
             .withColumn(std, F.when(has_key & (cnt > 1), F.sqrt(var)))
             .drop(b, "_ln", "_ls", "_lq", "_on", "_os", "_oq"))
 
@@ -110,18 +112,24 @@ def trailing_count(df: DataFrame, key: str, ts: str, out: str = "n_trailing",
                    unit: str = "hour") -> DataFrame:
     """Rows of the same key with time in ``[ts - 1 unit, ts]`` (peers included),
     i.e. ``count(*) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN 1 unit
-    PRECEDING AND CURRENT ROW)`` without a per-key partition and without a
-    join: real rows keep their columns through the union, shadows carry only
-    the key and the shifted time."""
+    PRECEDING AND CURRENT ROW)`` without a per-key partition.  Rows at or
+    before t in t's bucket are counted directly, those of the bucket before
+    through shadows at or after t: all shadows of the bucket less those before
+    t.  Linear in the number of distinct times.  Rows without key or time get
+    NULL and pass by the window."""
     interval = F.expr(_UNIT_INTERVAL[unit])
-    real = df.withColumns({"_t": F.col(ts), "_real": F.lit(1)})
-    shadow = df.select(key, (F.col(ts) + interval).alias("_t"), F.lit(0).alias("_real"))
-    both = real.unionByName(shadow, allowMissingColumns=True) \
-               .withColumn("_b", F.date_trunc(unit, F.col("_t")))
-    w = Window.partitionBy(key, "_b").orderBy("_t")
-    le = F.sum("_real").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ge = F.sum(1 - F.col("_real")).over(w.rangeBetween(Window.currentRow,
-                                                        Window.unboundedFollowing))
-    return (both.withColumn(out, F.when(F.col(key).isNotNull(), (le + ge).cast("bigint")))
-            .where(F.col("_real") == 1)
-            .drop("_t", "_real", "_b"))
+    per = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).groupBy(key, F.col(ts).alias("_t")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    real = per.select(key, "_t", F.col("_n").alias("_real"), F.lit(0).cast("long").alias("_shadow"))
+    shadow = per.select(key, (F.col("_t") + interval).alias("_t"), F.lit(0).cast("long").alias("_real"), F.col("_n").alias("_shadow"))
+    times = real.unionByName(shadow).groupBy(key, "_t").agg(F.sum("_real").alias("_real"), F.sum("_shadow").alias("_shadow")) \
+                .withColumn("_b", F.date_trunc(unit, F.col("_t")))
+    # one row per time from here on, so every frame grows by one row at a time
+    bucket = Window.partitionBy(key, "_b")
+    upto = bucket.orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    le = F.sum("_real").over(upto)
+    ge = F.sum("_shadow").over(bucket) - F.sum("_shadow").over(upto) + F.col("_shadow")
+    counts = times.select(key, "_t", "_real", (le + ge).alias(out)).where("_real > 0") \
+                  .select(F.col(key).alias("_ck"), F.col("_t").alias(ts), out)
+    side = sized(counts)
+    return df.join(side, (df[key] == side["_ck"]) & (df[ts] == side[ts]), "left").drop("_ck").drop(side[ts])

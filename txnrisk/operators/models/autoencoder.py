@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnrisk.operators.models.recon import normal_rows
+from txnrisk.operators.quantile import quantile
 from txnrisk.session import cut_lineage
 
 # --- fixed values (must equal the reference's) -------------------------------
@@ -43,7 +44,6 @@ VALIDATION = 0.2
 ES_PATIENCE, LR_PATIENCE, LR_FACTOR, LR_MIN = 10, 5, 0.5, 1e-7
 THRESHOLD_PERCENTILE = 0.95
 # ------------------------------------------------------------------------------
-EXACT_PERCENTILE_MAX_ROWS = 5_000_000   # beyond: mergeable quantile sketch
 MAX_TRAIN_PARTITIONS_FACTOR = 2         # training partitions <= 2 x cluster parallelism
 DRIVER_FANIN = 64                       # per-epoch rows reaching the driver
 ADAM_B1, ADAM_B2, ADAM_EPS = 0.9, 0.999, 1e-7
@@ -249,9 +249,7 @@ class AutoencoderDetector:
         final = best_params if np.isfinite(best) else params
         model = AutoencoderModel(cols, final, history=history)
         e = model.errors(train.select(*cols), "_e")
-        n = train.count()
-        pct = (F.percentile("_e", THRESHOLD_PERCENTILE) if n <= EXACT_PERCENTILE_MAX_ROWS
-               else F.percentile_approx("_e", THRESHOLD_PERCENTILE, 100_000))
-        thr, mx = e.agg(pct, F.max("_e")).first()
+        e = cut_lineage(e.select("_e"), "errors")     # read by the quantile and the maximum
+        thr, mx = quantile(e, "_e", THRESHOLD_PERCENTILE), e.agg(F.max("_e")).first()[0]
         model.threshold, model.max_error = float(thr), float(mx)
         return model

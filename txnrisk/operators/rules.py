@@ -51,8 +51,8 @@ def unusual_location(df: DataFrame) -> DataFrame:
 
 
 def unusual_time(df: DataFrame) -> DataFrame:
-    return df.withColumn("unusual_time", F.hour(TS).between(
-        UNUSUAL_HOUR_FROM, UNUSUAL_HOUR_TO).cast("int"))
+    return df.withColumn("unusual_time", fx.flag(F.hour(TS).between(
+        UNUSUAL_HOUR_FROM, UNUSUAL_HOUR_TO)))
 
 
 def new_merchant(df: DataFrame) -> DataFrame:

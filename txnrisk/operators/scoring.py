@@ -17,13 +17,16 @@ ID = "transaction_id"
 # stand-in rule scores: no fitted model needed (fixed parameters)
 NIGHT_SCORE, DAY_SCORE = 0.75, 0.25
 AMOUNT_SCORE_FACTOR = 5.0
+# a row without one of these cannot be scored and becomes an error row
+REQUIRED = ["amount", "event_time", "p_amount"]
 
 
 def rule_scores(df: DataFrame, mean_col: str = "customer_avg_amount") -> DataFrame:
     """Three deterministic model scores from the derived features."""
     return df.withColumns({
-        "p_amount": F.round(F.least(F.lit(1.0), F.try_divide(
-            F.col("amount"), AMOUNT_SCORE_FACTOR * F.col(mean_col))), 4),
+        # least() skips NULLs: a missing amount or mean has no score
+        "p_amount": F.when(F.col("amount").isNotNull() & F.col(mean_col).isNotNull(), F.round(F.least(
+            F.lit(1.0), F.try_divide(F.col("amount"), AMOUNT_SCORE_FACTOR * F.col(mean_col))), 4)),
         "p_location": fx.is_high_risk_location("location").cast("double"),
         "p_night": F.when(fx.is_night("event_time") == 1, NIGHT_SCORE).otherwise(DAY_SCORE),
     })
@@ -52,7 +55,8 @@ def combine(df: DataFrame, models: Sequence[str], policy: str = "strict",
 def score_pipeline(txn: DataFrame, policy: str = "strict") -> DataFrame:
     feats = fx.derive_features(txn)
     scored = rule_scores(feats)
-    return combine(scored, ["p_amount", "p_location", "p_night"], policy=policy, with_map=True)
+    scored = combine(scored, ["p_amount", "p_location", "p_night"], policy=policy, with_map=True)
+    return mark_invalid(scored, REQUIRED)
 
 
 def mark_invalid(df: DataFrame, required: Sequence[str]) -> DataFrame:

@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txnrisk.functions import features as fx
+from txnrisk.operators import keyed
 from txnrisk.operators.joins import is_small
+from txnrisk.operators.quantile import quantiles
 from txnrisk.session import cut_lineage
 
 # --- fixed values ---------------------------------------------------------------
@@ -32,9 +34,6 @@ FOLD_CUTS = ["3333", "6666", "9999", "cccc"]   # -> folds 0..4
 EXCLUDED = ["is_fraud", "transaction_id", "customer_id", "timestamp", "event_time",
             "fraud_type", *CATEGORICAL]
 # ----------------------------------------------------------------------------------
-# exact percentiles keep every distinct value of a column in one task: bounded
-EXACT_MEDIAN_MAX_ROWS = 1_000_000
-APPROX_ACCURACY = 100_000
 
 
 def _text(col: str) -> Column:
@@ -126,22 +125,17 @@ def encode(df: DataFrame, vocab: DataFrame, cols: Sequence[str] = CATEGORICAL,
 
 # --- imputation and scaling -----------------------------------------------------------
 
-def _exact_ok(df: DataFrame, exact: bool | None) -> bool:
-    if exact is not None:
-        return exact
-    return df.limit(EXACT_MEDIAN_MAX_ROWS + 1).count() <= EXACT_MEDIAN_MAX_ROWS
+def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
+                                        for c in cols])))
 
 
-def fit_medians(df: DataFrame, cols: Sequence[str], exact: bool | None = None) -> DataFrame:
-    """Long table ``(feature, median_value)``, one ``groupBy(feature)`` so each
-    column's percentile buffer is its own task.  Exact (linear interpolation,
-    as numpy) up to a row bound; beyond it a mergeable quantile sketch."""
-    x = F.col("x")
-    med = (F.percentile(x, 0.5) if _exact_ok(df, exact)
-           else F.percentile_approx(x, 0.5, APPROX_ACCURACY).cast("double"))
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
-                      for c in cols])
-    return df.select(F.inline(pairs)).groupBy("feature").agg(med.alias("median_value"))
+def fit_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Long table ``(feature, median_value)``, exact at any size; NULL for a
+    column without values."""
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("feature"))
+    med = quantiles(_long(df, cols), [0.5]).select("feature", F.col("quantile").alias("median_value"))
+    return names.join(med, "feature", "left")
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -157,22 +151,18 @@ def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.select(F.inline(pairs))
 
 
-def fit_median_and_scaler(df: DataFrame, cols: Sequence[str], exact: bool | None = None):
-    """Medians and the mean / population std of the median-imputed columns,
-    from one aggregate in long form -- ``groupBy(feature)``, so each column's
-    percentile buffer lives in its own task.  With ``k`` of ``n`` values present
-    and median ``m``, the imputed column has sum ``s + (n-k) m`` and square sum
-    ``q + (n-k) m^2``."""
-    exact_ok = _exact_ok(df, exact)
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
-                      for c in cols])
-    long = df.select(F.inline(pairs))
-    x = F.col("x")
-    med = (F.percentile(x, 0.5) if exact_ok
-           else F.percentile_approx(x, 0.5, APPROX_ACCURACY).cast("double"))
-    stats = {r["feature"]: r for r in long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"), med.alias("m"), F.count(x).alias("k"),
-        F.sum(x).alias("s"), F.sum(x * x).alias("q")).collect()}   # one row per feature
+def fit_median_and_scaler(df: DataFrame, cols: Sequence[str]):
+    """Medians and the mean / population std of the median-imputed columns.
+    With ``k`` of ``n`` values present and median ``m``, the imputed column has
+    sum ``s + (n-k) m`` and square sum ``q + (n-k) m^2``."""
+    med = {r["feature"]: r["median_value"] for r in fit_medians(df, cols).collect()}   # one row per feature
+    aggs = []
+    for c in cols:
+        x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        aggs += [F.count(x).alias(f"{c}__k"), F.sum(x).alias(f"{c}__s"), F.sum(x * x).alias(f"{c}__q")]
+    wide = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
+    stats = {c: {"n": wide["n"], "m": med.get(c), "k": wide[f"{c}__k"], "s": wide[f"{c}__s"], "q": wide[f"{c}__q"]}
+             for c in cols}
     medians, scaler = {}, {}
     for c in cols:
         r = stats.get(c)
@@ -235,9 +225,12 @@ FEATURE_ORDER = [
 
 @dataclass
 class Preprocessor:
-    """Fitted state: vocabulary table, per-feature medians and scaler
-    statistics, and the frozen feature order."""
+    """Fitted state: vocabulary table, customer statistics, per-feature medians
+    and scaler statistics, and the frozen feature order.  Rows are transformed
+    with the statistics of the training rows, one by one or as a table; a
+    customer unknown to them gets the imputed values."""
     vocab: DataFrame
+    profile: DataFrame
     vocab_info: dict
     medians: dict[str, float | None]
     scaler: dict[str, tuple[float, float]]
@@ -251,20 +244,22 @@ class Preprocessor:
         return [c for c in FEATURE_ORDER if c in numeric and c not in EXCLUDED]
 
     @classmethod
-    def fit(cls, df: DataFrame, exact_medians: bool | None = None) -> Preprocessor:
+    def fit(cls, df: DataFrame) -> Preprocessor:
         """Two passes over the training rows: the vocabulary (materialised --
-        it is small fitted state, joined five times later), then one aggregate
-        with every median and the moments the scaler needs."""
-        feats = fx.derive_features(df)
+        it is small fitted state, joined five times later), then the medians and
+        the moments the scaler needs."""
+        profile = cut_lineage(keyed.key_stats(df.where(F.col("customer_id").isNotNull()), "customer_id", "amount",
+                                              *fx.CUSTOMER_FEATURES), "customer-profile")
+        feats = fx.derive_features(df, profile=profile)
         vocab = cut_lineage(fit_vocabulary(feats), "vocab")
         info = vocabulary_info(vocab)
         enc = encode(feats, vocab, info=info, materialized=True)
         cols = cls.select_features(enc)
-        med, sc = fit_median_and_scaler(enc, cols, exact_medians)
-        return cls(vocab=vocab, vocab_info=info, medians=med, scaler=sc, feature_columns=cols)
+        med, sc = fit_median_and_scaler(enc, cols)
+        return cls(vocab=vocab, profile=profile, vocab_info=info, medians=med, scaler=sc, feature_columns=cols)
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ("transaction_id",)) -> DataFrame:
-        feats = fx.derive_features(df)
+        feats = fx.derive_features(df, profile=self.profile)
         enc = encode(feats, self.vocab, info=self.vocab_info, materialized=True)
         missing = [c for c in self.feature_columns if c not in enc.columns]
         if missing:
@@ -274,10 +269,11 @@ class Preprocessor:
         keep = [k for k in keep if k not in self.feature_columns]   # features come scaled
         return out.select(*keep, *label, *self.feature_columns)
 
-    # persistence: the vocabulary as Parquet, the numbers as one JSON document
+    # persistence: vocabulary and customer statistics as Parquet, the numbers as one JSON document
     def save(self, path: str) -> None:
         spark = self.vocab.sparkSession
         self.vocab.write.mode("overwrite").parquet(os.path.join(path, "vocab"))
+        self.profile.write.mode("overwrite").parquet(os.path.join(path, "profile"))
         doc = json.dumps({"medians": self.medians, "scaler": self.scaler,
                           "feature_columns": self.feature_columns,
                           "vocab_info": {k: list(v) for k, v in self.vocab_info.items()}})
@@ -288,7 +284,7 @@ class Preprocessor:
     def load(cls, spark: SparkSession, path: str) -> Preprocessor:
         vocab = spark.read.parquet(os.path.join(path, "vocab"))
         doc = json.loads(spark.read.text(os.path.join(path, "state")).first()[0])
-        return cls(vocab=vocab, vocab_info={k: tuple(v) for k, v in doc["vocab_info"].items()},
+        return cls(vocab=vocab, profile=spark.read.parquet(os.path.join(path, "profile")), vocab_info={k: tuple(v) for k, v in doc["vocab_info"].items()},
                    medians=doc["medians"],
                    scaler={k: tuple(v) for k, v in doc["scaler"].items()},
                    feature_columns=doc["feature_columns"])

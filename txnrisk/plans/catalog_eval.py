@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from txnrisk.operators import evaluate as ev
 from txnrisk.operators import state
+from txnrisk.operators.quantile import quantiles
 from txnrisk.plans.registry import query
+from txnrisk.session import cut_lineage
 from txnrisk.sources import fixtures
 
 MODELS = ["p_amount", "p_location", "p_night"]
@@ -203,10 +205,11 @@ def eval_cv_by_fold(spark: SparkSession, sf: str) -> DataFrame:
 # --- many models at once, comparison, recommendation ----------------------------------------
 
 def all_models(spark: SparkSession, sf: str) -> DataFrame:
-    long = _long(spark, sf, with_fold=True)
+    # the base tables are read once; confusion, curves and folds come from this table
+    long = cut_lineage(_long(spark, sf, with_fold=True), "eval-long")
     conf = ev.confusion(long)
     wide = ev.business_metrics(ev.mcc(ev.rate_metrics(ev.basic_metrics(conf))))
-    curve = ev.ranked_curve(long)
+    curve = cut_lineage(ev.ranked_curve(long), "eval-curve")     # areas and threshold read it
     cv = ev.cv_by_fold(long).groupBy("model").agg(F.first("cv_mean").alias("cv_mean"),
                                                   F.first("cv_std").alias("cv_std"))
     # every table below has one row per model: tiny joins
@@ -268,9 +271,10 @@ def eval_best_model(spark: SparkSession, sf: str) -> DataFrame:
 SELECT round(quantile_cont(p_amount, 0.03), 6) AS q03, round(quantile_cont(p_amount, 0.95), 6) AS q95
 FROM scored""")
 def agg_score_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    s = fixtures.scored(spark, sf)
-    return s.agg(F.round(F.percentile("p_amount", 0.03), 6).alias("q03"),
-                 F.round(F.percentile("p_amount", 0.95), 6).alias("q95"))
+    s = fixtures.scored(spark, sf).select(F.lit("p_amount").alias("feature"), F.col("p_amount").alias("x"))
+    q = quantiles(s, [0.03, 0.95])
+    return q.agg(*[F.round(F.max(F.when(F.col("p") == p, F.col("quantile"))), 6).alias(name)
+                   for name, p in (("q03", 0.03), ("q95", 0.95))])
 
 
 RANKED_METRICS = ["accuracy", "precision", "recall", "f1_score", "roc_auc"]

@@ -36,10 +36,10 @@ def r6(x, name=None):
 
 # SQL fragments shared by the oracles ------------------------------------------
 def sql_money_avg(x: str, over: str = "") -> str:
-    """Exact mean of 4-decimal money, HALF_UP at 8 places (integer arithmetic)."""
-    s = f"CAST(sum(CAST({x} AS DECIMAL(18,4))) {over} * 10000 AS HUGEINT)"
+    """Exact mean of 8-decimal money, HALF_UP at 8 places (integer arithmetic)."""
+    s = f"CAST(sum(CAST({x} AS DECIMAL(28,8))) {over} * 100000000 AS HUGEINT)"
     n = f"NULLIF(count({x}) {over}, 0)"
-    return f"(CAST(({s} * 20000 + {n}) // (2 * {n}) AS DOUBLE) / 100000000)"
+    return f"(CAST(({s} * 2 + {n}) // (2 * {n}) AS DOUBLE) / 100000000)"
 
 
 SQL_TIME = """
@@ -143,10 +143,8 @@ SELECT transaction_id,
 FROM v""")
 def validate_txn(spark: SparkSession, sf: str) -> DataFrame:
     o = orders_txn(spark, sf)
-    prof = customer_profile(spark, sf).select("customer_id", "age", "income")
-    raw = read_table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("customer_id"), F.col("c_acctbal").alias("account_balance"))
-    j = keyed.attach(keyed.attach(o, prof, "customer_id"), raw, "customer_id")
+    raw = customer_profile(spark, sf, raw_balance=True).select("customer_id", "age", "income", "account_balance")
+    j = keyed.attach(o, raw, "customer_id")
     reasons = []
     for name, (lo, hi) in VALID_BOUNDS.items():
         v = F.col(name)
@@ -226,7 +224,7 @@ def fraud_rate_by_category(spark: SparkSession, sf: str) -> DataFrame:
 @query("feat_time", sql=f"SELECT transaction_id, {SQL_TIME} FROM txn")
 def feat_time(spark: SparkSession, sf: str) -> DataFrame:
     ts = "event_time"
-    return txn(spark, sf).select(
+    return base_txn(spark, sf).select(
         ID, fx.hour_of(ts).alias("hour"), fx.day_of_week(ts).alias("day_of_week"),
         fx.is_weekend(ts).alias("is_weekend"), fx.is_night(ts).alias("is_night"),
         fx.is_business_hours(ts).alias("is_business_hours"))
@@ -234,7 +232,7 @@ def feat_time(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("feat_amount", sql="SELECT transaction_id, round(ln(1 + amount), 6) AS log_amount FROM txn")
 def feat_amount(spark: SparkSession, sf: str) -> DataFrame:
-    return txn(spark, sf).select(ID, r6(fx.log_amount("amount"), "log_amount"))
+    return base_txn(spark, sf).select(ID, r6(fx.log_amount("amount"), "log_amount"))
 
 
 @query("feat_amount_category", sql=f"""
@@ -245,7 +243,7 @@ def feat_amount_category(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("feat_ratios", sql=f"SELECT transaction_id, {SQL_RATIOS} FROM txn")
 def feat_ratios(spark: SparkSession, sf: str) -> DataFrame:
-    return txn(spark, sf).select(
+    return base_txn(spark, sf).select(
         ID, r6(fx.amount_to_income_ratio("amount", "income"), "amount_to_income_ratio"),
         r6(fx.amount_to_balance_ratio("amount", "account_balance"), "amount_to_balance_ratio"),
         r6(fx.balance_impact("amount", "account_balance"), "balance_impact"))
@@ -253,7 +251,7 @@ def feat_ratios(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("feat_risk_flags", sql=f"SELECT transaction_id, {SQL_FLAGS} FROM txn")
 def feat_risk_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return txn(spark, sf).select(
+    return base_txn(spark, sf).select(
         ID, fx.is_high_risk_location("location").alias("is_high_risk_location"),
         fx.is_high_risk_merchant("merchant_category").alias("is_high_risk_merchant"),
         fx.is_mobile_device("device_type").alias("is_mobile_device"))
@@ -291,13 +289,13 @@ FROM txn
 WINDOW w AS (PARTITION BY customer_id ORDER BY event_time, transaction_id
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def feat_profile_asof(spark: SparkSession, sf: str) -> DataFrame:
-    t = txn(spark, sf).select(ID, "customer_id", "event_time", "amount")
+    t = base_txn(spark, sf).select(ID, "customer_id", "event_time", "amount")
     a = keyed.asof_stats(t, "customer_id", "event_time", ID, "amount", unit="hour")
     return a.select(ID, "n_before", "avg_before", r6("std_before"))
 
 
 def features_24(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.derive_features(txn(spark, sf))
+    return fx.derive_features(base_txn(spark, sf))
 
 
 @query("features_full", sql=SQL_CUST_STATS.format(src="txn") + f"""
@@ -347,7 +345,7 @@ def _rule_query(rule: str):
     @query(f"rule_{rule}", sql=SQL_RULE_BASE + f"""
 SELECT transaction_id, customer_id, amount FROM r WHERE {rule} = 1""")
     def build(spark: SparkSession, sf: str) -> DataFrame:
-        return rules.rule_hits(txn(spark, sf), rule)
+        return rules.rule_hits(base_txn(spark, sf), rule)
     return build
 
 
@@ -361,5 +359,5 @@ SELECT transaction_id, high_amount, rapid_sequence, unusual_location, unusual_ti
   high_amount + rapid_sequence + unusual_location + unusual_time + new_merchant + account_takeover AS n_hits
 FROM r""")
 def rule_hits(spark: SparkSession, sf: str) -> DataFrame:
-    out = rules.apply_rules(txn(spark, sf))
+    out = rules.apply_rules(base_txn(spark, sf))
     return out.select(ID, *rules.RULES, "n_hits")

@@ -22,6 +22,7 @@ from txnrisk.operators.models.recon import ReconstructionDetector
 from txnrisk.plans.registry import query
 from txnrisk.session import cut_lineage, ensure_parallelism
 from txnrisk.sources import fixtures
+from txnrisk.sources.tables import table_path
 
 ID = "transaction_id"
 ENSEMBLE_MEMBERS = ["if", "mlp"]        # shipped ensemble: isolation forest + autoencoder
@@ -32,8 +33,15 @@ ENSEMBLE_MEMBERS = ["if", "mlp"]        # shipped ensemble: isolation forest + a
 _FITTED: dict[tuple, object] = {}
 
 
+def _version(spark: SparkSession, path: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p).getModificationTime()
+
+
 def _memo(spark: SparkSession, sf: str, what: str, make):
-    key = (spark.sparkContext.applicationId, sf, what)
+    tables = tuple(_version(spark, table_path(sf, t)) for t in ("events", "customer"))   # changed tables: fit anew
+    key = (spark.sparkContext.applicationId, sf, tables, what)
     if key not in _FITTED:
         _FITTED[key] = make()
     return _FITTED[key]
@@ -114,12 +122,11 @@ def model_autoencoder(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("mlp_pred").alias("is_anomaly"), F.col("mlp_proba").alias("probability"))
 
 
-def scored_by_models(spark: SparkSession, sf: str, with_forest: bool = True) -> DataFrame:
+def scored_by_models(spark: SparkSession, sf: str) -> DataFrame:
     x, cols = feature_table(spark, sf)
     s = fitted_recon(spark, sf).transform(fitted_iforest(spark, sf).transform(x))
     s = fitted_autoencoder(spark, sf).transform(s)
-    if with_forest:
-        s = forest.forest_scores(fitted_forest(spark, sf), s, cols)
+    s = forest.forest_scores(fitted_forest(spark, sf), s, cols)
     return forest.ensemble(s, ENSEMBLE_MEMBERS, pol.ENSEMBLE_WEIGHTS)
 
 
@@ -127,12 +134,20 @@ def scored_by_models(spark: SparkSession, sf: str, with_forest: bool = True) ->
 def model_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted ensemble (0.6 / 0.4) and the served result: plain mean over
     the base models, confidence from their agreement, level, decision, alert."""
-    s = scored_by_models(spark, sf, with_forest=False)
-    served = scoring.combine(s, ["if_proba", "mlp_proba"], policy="strict")
+    s = scored_by_models(spark, sf)
+    served = scoring.combine(s, ["rf_proba", "if_proba", "mlp_proba"], policy="strict")
     return served.select(ID, "ens_proba", "ens_pred", "fraud_probability", "confidence_score",
                          "risk_level", "is_fraud_pred", "alert_triggered")
 
 
+@query("eval_cv_refit")
+def eval_cv_refit(spark: SparkSession, sf: str) -> DataFrame:
+    """Cross-validation of the random forest: one forest per fold, fitted on
+    the other folds and judged on its own."""
+    x, cols = feature_table(spark, sf)
+    return forest.cross_validate(_train(x), cols, ID)
+
+
 @query("eval_fitted_models")
 def eval_fitted_models(spark: SparkSession, sf: str) -> DataFrame:
     """Every fitted model on the held-out rows, one pass for all models."""

@@ -10,9 +10,10 @@ from txnrisk.functions import features as fx
 from txnrisk.functions import policies as pol
 from txnrisk.operators import dashboard, scoring
 from txnrisk.operators.joins import sized_join
-from txnrisk.plans.catalog_features import sql_money_avg
+from txnrisk.plans.catalog_features import SQL_AMOUNT_CATEGORY, SQL_FLAGS, SQL_TIME, sql_money_avg
 from txnrisk.plans.registry import query
 from txnrisk.sources import fixtures
+from txnrisk.sources.tables import read_table
 
 ID = "transaction_id"
 MODELS = ["p_amount", "p_location", "p_night"]
@@ -145,16 +146,18 @@ def model_predictions_long(spark: SparkSession, sf: str) -> DataFrame:
 SQL_PIPELINE = """
 , cs AS (SELECT customer_id, """ + sql_money_avg("amount") + """ AS cm FROM base GROUP BY customer_id)
 , sc AS (SELECT t.transaction_id, t.customer_id, t.event_time,
-    round(least(CAST(1 AS DOUBLE), t.amount / NULLIF(5 * cs.cm, 0)), 4) AS p_amount,
+    CASE WHEN t.amount IS NOT NULL AND cs.cm <> 0 THEN round(least(CAST(1 AS DOUBLE), t.amount / (5 * cs.cm)), 4) END AS p_amount,
+    t.amount IS NULL OR t.event_time IS NULL OR cs.cm IS NULL OR cs.cm = 0 AS bad,
     CASE WHEN t.location IN ('international') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS p_location,
     CASE WHEN hour(t.event_time) >= 22 OR hour(t.event_time) <= 5 THEN CAST(0.75 AS DOUBLE)
       ELSE CAST(0.25 AS DOUBLE) END AS p_night
   FROM located t LEFT JOIN cs ON t.customer_id = cs.customer_id)
 , sp AS (SELECT *, round((p_amount + p_location + p_night) / 3, 4) AS p,
     (p_amount + p_location + p_night) / 3 AS m3 FROM sc)
-, es0 AS (SELECT *, p AS fraud_probability, """ + SQL_CONF + """ AS confidence_score,
-    CASE WHEN p >= 0.9 THEN 'critical' WHEN p >= 0.8 THEN 'high' WHEN p >= 0.6 THEN 'medium'
-      ELSE 'low' END AS risk_level, coalesce(p >= 0.6, false) AS is_fraud_pred FROM sp)
+, es0 AS (SELECT *, CASE WHEN bad THEN 0.0 ELSE p END AS fraud_probability,
+    CASE WHEN bad THEN 0.0 ELSE """ + SQL_CONF + """ END AS confidence_score,
+    CASE WHEN bad THEN 'error' WHEN p >= 0.9 THEN 'critical' WHEN p >= 0.8 THEN 'high' WHEN p >= 0.6 THEN 'medium'
+      ELSE 'low' END AS risk_level, NOT bad AND p >= 0.6 AS is_fraud_pred FROM sp)
 """
 
 
@@ -168,6 +171,38 @@ def score_pipeline(spark: SparkSession, sf: str) -> DataFrame:
                     "risk_level", "is_fraud_pred", "alert_triggered")
 
 
+SPOILED_EVENTS = """(SELECT event_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE ts END AS ts,
+  CASE WHEN event_id % 17 = 0 THEN NULL ELSE user_id END AS user_id, event_type,
+  CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS value,
+  CASE WHEN event_id % 19 = 0 THEN NULL ELSE props END AS props FROM events)"""
+
+
+def spoiled_txn(spark: SparkSession, sf: str) -> DataFrame:
+    """Transactions of the events with some times, customers, amounts and
+    properties missing, and some amounts NaN."""
+    e, i = read_table(spark, sf, "events"), F.col("event_id")
+    e = e.withColumns({
+        "ts": F.when(i % 13 != 0, F.col("ts")), "user_id": F.when(i % 17 != 0, F.col("user_id")),
+        "value": F.when(i % 7 == 0, None).when(i % 11 == 0, float("nan")).otherwise(F.col("value")),
+        "props": F.when(i % 19 != 0, F.col("props"))})
+    return fixtures.events_to_txn(e, fixtures.customer_profile(spark, sf))
+
+
+@query("score_spoiled_rows", events=SPOILED_EVENTS, sql=SQL_PIPELINE + """
+SELECT transaction_id, fraud_probability, confidence_score, risk_level, is_fraud_pred FROM es0""")
+def score_spoiled_rows(spark: SparkSession, sf: str) -> DataFrame:
+    s = scoring.score_pipeline(spoiled_txn(spark, sf))
+    return s.select(ID, "fraud_probability", "confidence_score", "risk_level", "is_fraud_pred")
+
+
+@query("features_spoiled_rows", events=SPOILED_EVENTS, sql="SELECT transaction_id," + SQL_TIME + "," + SQL_FLAGS + """,
+  """ + SQL_AMOUNT_CATEGORY + """ AS amount_category FROM located""")
+def features_spoiled_rows(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.derive_features(spoiled_txn(spark, sf))
+    return d.select(ID, *fx.TIME_FEATURES, "is_high_risk_location", "is_high_risk_merchant", "is_mobile_device",
+                    "amount_category")
+
+
 @query("score_invalid_rows", sql="""
 , o AS (SELECT o.transaction_id, CASE WHEN o.amount > 50 THEN o.amount END AS amount,
     CASE WHEN c.c_acctbal IS NOT NULL THEN greatest(c.c_acctbal, CAST(100 AS DOUBLE)) END AS account_balance

@@ -11,6 +11,7 @@ from txnrisk.functions import features as fx
 from txnrisk.operators import keyed, state
 from txnrisk.plans.catalog_features import (FEATURES_24, SQL_AMOUNT_CATEGORY, SQL_CUST_STATS,
                                             SQL_FLAGS, SQL_TIME, features_24)
+from txnrisk.plans.catalog_features import sql_money_avg
 from txnrisk.plans.registry import query
 from txnrisk.sources import fixtures
 
@@ -55,7 +56,7 @@ def sql_encoded(c: str, voc: str = "voc", alias: str = "t") -> str:
 # --- vocabulary and encoding ---------------------------------------------------------------
 
 def _txn_with_category(spark, sf):
-    t = fixtures.txn(spark, sf)
+    t = fixtures.base_txn(spark, sf)
     return t.withColumn("amount_category", fx.amount_category("amount"))
 
 
@@ -85,7 +86,7 @@ def encode_unseen(spark: SparkSession, sf: str) -> DataFrame:
     """Fit on domestic, non-luxury rows; apply to all.  'international' is
     unseen and 'unknown' is not a location -> new last code; 'luxury' is unseen
     but 'unknown' is a merchant value -> that code."""
-    t = fixtures.txn(spark, sf)
+    t = fixtures.base_txn(spark, sf)
     fit = t.where((F.col("location") != "international") & (F.col("merchant_category") != "luxury"))
     vocab = state.fit_vocabulary(fit, UNSEEN_COLS)
     e = state.encode(t, vocab, UNSEEN_COLS)
@@ -98,7 +99,7 @@ def encode_unseen(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.5), 6) AS median_value FROM ff"
     for c in FEATURES_24))
 def agg_feature_medians(spark: SparkSession, sf: str) -> DataFrame:
-    m = state.fit_medians(features_24(spark, sf), FEATURES_24, exact=True)
+    m = state.fit_medians(features_24(spark, sf), FEATURES_24)
     return m.select("feature", F.round("median_value", 6).alias("median_value"))
 
 
@@ -121,7 +122,7 @@ def impute_median(spark: SparkSession, sf: str) -> DataFrame:
     d = d.withColumn("amount_deviation", fx.amount_deviation(
         "amount", "customer_avg_amount", "customer_amount_std"))
     med = {r["feature"]: r["median_value"]
-           for r in state.fit_medians(d, ["amount_deviation"], exact=True).collect()}
+           for r in state.fit_medians(d, ["amount_deviation"]).collect()}
     out = state.impute(d, med)
     return out.select(ID, F.round("amount_deviation", 6).alias("amount_deviation"))
 
@@ -154,7 +155,7 @@ SELECT transaction_id, CASE WHEN substr(md5(CAST(transaction_id AS VARCHAR)), 5,
     WHEN substr(md5(CAST(transaction_id AS VARCHAR)), 5, 4) < 'cccc' THEN 3 ELSE 4 END AS fold
 FROM txn""")
 def kfold_assign(spark: SparkSession, sf: str) -> DataFrame:
-    return state.kfold_assign(fixtures.txn(spark, sf), ID).select(ID, "fold")
+    return state.kfold_assign(fixtures.base_txn(spark, sf), ID).select(ID, "fold")
 
 
 @query("class_weights", sql="""
@@ -165,12 +166,29 @@ def class_weights(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("is_fraud", F.round("weight", 6).alias("weight"))
 
 
-@query("pipeline_fit_transform", sql="""
-SELECT transaction_id, is_fraud AS label, 29 AS n_features FROM txn""")
+CHECKED_FEATURES = ["amount", "log_amount", "is_night", "customer_transaction_count", "customer_avg_amount"]
+
+
+@query("pipeline_fit_transform", sql=""", tr AS (SELECT * FROM txn WHERE substr(md5(CAST(transaction_id AS VARCHAR)), 1, 4) >= '3333'),
+cp AS (SELECT customer_id, count(amount) AS customer_transaction_count, """ + sql_money_avg("amount") + """ AS customer_avg_amount
+  FROM tr WHERE customer_id IS NOT NULL GROUP BY customer_id),
+raw AS (SELECT t.transaction_id, t.is_fraud, t.amount, ln(1 + t.amount) AS log_amount,
+    CAST(CASE WHEN hour(t.event_time) >= 22 OR hour(t.event_time) <= 5 THEN 1 ELSE 0 END AS DOUBLE) AS is_night,
+    CAST(customer_transaction_count AS DOUBLE) AS customer_transaction_count, customer_avg_amount,
+    substr(md5(CAST(t.transaction_id AS VARCHAR)), 1, 4) >= '3333' AS train
+  FROM txn t LEFT JOIN cp ON t.customer_id = cp.customer_id),
+md AS (SELECT """ + ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in CHECKED_FEATURES) + """ FROM raw WHERE train),
+im AS (SELECT transaction_id, is_fraud, train, """ + ", ".join(
+    f"coalesce(raw.{c}, md.{c}, 0) AS {c}" for c in CHECKED_FEATURES) + """ FROM raw, md),
+sc AS (SELECT """ + ", ".join(
+    f"avg({c}) AS {c}_m, coalesce(nullif(stddev_pop({c}), 0), 1) AS {c}_s" for c in CHECKED_FEATURES) + """ FROM im WHERE train)
+SELECT transaction_id, is_fraud AS label, 29 AS n_features, """ + ", ".join(
+    f"round(({c} - {c}_m) / {c}_s + 1e-9, 6) AS {c}" for c in CHECKED_FEATURES) + " FROM im, sc")
 def pipeline_fit_transform(spark: SparkSession, sf: str) -> DataFrame:
-    """Split first, fit the preprocessor on the training rows only, transform
-    every row, assemble the feature vector."""
+    """Split first, fit the preprocessor (customer statistics too) on the
+    training rows only, transform every row, assemble the feature vector."""
     t = state.split_stratified(fixtures.txn(spark, sf), ID)
     pre = state.Preprocessor.fit(t.where(~F.col("is_test")))
     x = state.assemble(pre.transform(t), pre.feature_columns)
-    return x.select(ID, "label", F.size(vector_to_array("features")).alias("n_features"))
+    return x.select(ID, "label", F.size(vector_to_array("features")).alias("n_features"),
+                    *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in CHECKED_FEATURES])

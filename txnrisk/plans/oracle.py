@@ -7,7 +7,8 @@ oracle side, so each oracle query starts with this WITH list.
 
 FIXTURE_CTE = """
 WITH base AS (
-  SELECT e.event_id AS transaction_id, e.user_id AS customer_id, e.ts AS event_time, e.value AS amount,
+  SELECT e.event_id AS transaction_id, e.user_id AS customer_id, e.ts AS event_time,
+    CASE WHEN isnan(e.value) THEN NULL ELSE e.value END AS amount,
     CAST(regexp_extract(e.props, '[0-9]+', 0) AS INT) AS k,
     CASE CAST(floor(e.event_id / 10) AS BIGINT) % 14
       WHEN 0 THEN 'grocery' WHEN 1 THEN 'restaurant' WHEN 2 THEN 'gas' WHEN 3 THEN 'retail' WHEN 4 THEN 'online'
@@ -36,7 +37,7 @@ WITH base AS (
   FROM located
 ), scored AS (
   SELECT transaction_id, customer_id, event_time, amount, merchant_category, location, is_fraud,
-    round(least(CAST(1 AS DOUBLE), amount / (5 * cust_avg)), 4) AS p_amount,
+    CASE WHEN amount IS NOT NULL AND cust_avg <> 0 THEN round(least(CAST(1 AS DOUBLE), amount / (5 * cust_avg)), 4) END AS p_amount,
     CAST(CASE WHEN location = 'international' THEN 1 ELSE 0 END AS DOUBLE) AS p_location,
     round(CASE WHEN hour(event_time) >= 22 OR hour(event_time) <= 5 THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.25 AS DOUBLE) END, 4) AS p_night
   FROM txn

@@ -28,17 +28,17 @@ class QuerySpec:
 REGISTRY: dict[str, QuerySpec] = {}
 
 
-def with_fixtures(body: str) -> str:
-    body = body.strip()
-    sep = "\n" if body.startswith(",") else "\n"
-    return FIXTURE_CTE.strip() + sep + body
+def with_fixtures(body: str, events: str = "events") -> str:
+    return FIXTURE_CTE.strip().replace("FROM events e", f"FROM {events} e") + "\n" + body.strip()
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, events: str = "events"):
+    """Register a query.  ``events``: what the oracle's fixture views read as
+    the events table."""
     def deco(fn: Builder) -> Builder:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = QuerySpec(name, fn, with_fixtures(sql) if sql else None)
+        REGISTRY[name] = QuerySpec(name, fn, with_fixtures(sql, events) if sql else None)
         return fn
     return deco
 
@@ -46,5 +46,6 @@ def query(name: str, sql: str | None = None):
 def load_all() -> dict[str, QuerySpec]:
     # importing the catalogue modules registers their queries
     from txnrisk.plans import (catalog_eval, catalog_features, catalog_models,  # noqa: F401
-                               catalog_serving, catalog_state, catalog_stream)
+                               catalog_serving, catalog_small, catalog_state,
+                               catalog_stream)
     return REGISTRY

@@ -52,10 +52,14 @@ def build_session(master: str | None = None, app: str = "txnrisk",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's if set, else a local one."""
+    """The folder that driver and executors share: the one the cluster names in
+    ``spark.checkpoint.dir``.  Only a local session, where all run on one
+    machine, gets a folder of its own when nothing is set."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="txnrisk-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
@@ -73,6 +77,13 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def clear_tables(spark: SparkSession) -> None:
+    """Remove the tables that ``cut_lineage`` has written; frames that still
+    read one can't be used afterwards."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(checkpoint_dir(spark), "tables"))
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def ensure_parallelism(df: DataFrame, minimum: int | None = None) -> DataFrame:
     """Raise the partition count to the cluster's parallelism for CPU-heavy
     stages (model fits, Python scoring) when a small input arrives in few

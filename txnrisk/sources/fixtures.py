@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txnrisk.functions.features import nan_to_null
 from txnrisk.operators.joins import sized, sized_join
 from txnrisk.sources.tables import read_table
 
@@ -39,16 +40,17 @@ def _case_lt(x, cuts, default):
     return expr.otherwise(default)
 
 
-def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer attributes the base table lacks are derived from the key."""
+def customer_profile(spark: SparkSession, sf_dir: str, raw_balance: bool = False) -> DataFrame:
+    """Customer attributes the base table lacks are derived from the key.
+    ``raw_balance`` leaves the balance as the table has it."""
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     k = F.col("c_custkey")
     return c.select(
         k.alias("customer_id"),
         (18 + k % 63).cast("double").alias("age"),
         (20000 + (k * 7919) % 480001).cast("double").alias("income"),
-        F.when(F.col("c_acctbal").isNotNull(),
-               F.greatest(F.col("c_acctbal"), F.lit(MIN_BALANCE))).alias("account_balance"),
+        (F.col("c_acctbal") if raw_balance else F.when(
+            F.col("c_acctbal").isNotNull(), F.greatest(F.col("c_acctbal"), F.lit(MIN_BALANCE)))).alias("account_balance"),
         (30 + (k * 31) % 3620).alias("account_age_days"),
         (300 + (k * 17) % 551).cast("double").alias("credit_score"),
         (1 + k % 49).alias("transaction_frequency"))
@@ -72,7 +74,7 @@ def events_to_txn(e: DataFrame, profile: DataFrame) -> DataFrame:
     k = F.regexp_extract(F.col("props"), "[0-9]+", 0).cast("int")
     tx = e.select(
         eid.alias("transaction_id"), F.col("user_id").alias("customer_id"),
-        F.col("ts").alias("event_time"), F.col("value").alias("amount"),
+        F.col("ts").alias("event_time"), nan_to_null("value").alias("amount"),
         k.alias("k"), merchant.alias("merchant_category"), ttype.alias("transaction_type"),
         _case_lt(eid % 10, DEVICE_CUTS, DEFAULT_DEVICE).alias("device_type"))
     # dimension join: broadcast under a checked row count, else sort-merge
@@ -101,8 +103,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(
         "transaction_id", "customer_id", "event_time", "amount", "merchant_category",
         "location", "is_fraud",
-        F.round(F.least(F.lit(1.0), F.try_divide(F.col("amount"), 5 * F.col("cust_avg"))), 4)
-        .alias("p_amount"),
+        F.when(F.col("amount").isNotNull() & F.col("cust_avg").isNotNull(), F.round(F.least(
+            F.lit(1.0), F.try_divide(F.col("amount"), 5 * F.col("cust_avg"))), 4)).alias("p_amount"),
         F.when(F.col("location") == "international", 1.0).otherwise(0.0).alias("p_location"),
         F.round(F.when((h >= 22) | (h <= 5), 0.75).otherwise(0.25), 4).alias("p_night"))
 
