@@ -244,10 +244,10 @@ def matches(packed: DataFrame, length: int = LENGTH) -> DataFrame:
         code = tokens.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         base = np.uint64(0xA0761D6478BD642F)
         for order in _head_groups(head):  # roll the hash of ``length`` bytes over the cut-outs
-            x = code[cut[order]]
+            near = cut[order].T.copy()  # a row per place, so that a step reads one
             h = np.zeros(len(order), np.uint64)
             for j in range(length):
-                h = h * base + x[:, j]
+                h = h * base + code[near[j]]
             out = np.uint64(pow(int(base), length, 1 << 64))
             for o in range(side + 1):
                 ok = np.flatnonzero((o >= side - left[order]) & (o <= right[order]))
@@ -259,7 +259,7 @@ def matches(packed: DataFrame, length: int = LENGTH) -> DataFrame:
                     least = np.repeat(d[start], np.diff(np.append(start, len(key))))
                     lone[order[ok][by[d > least]]] |= 1 << o
                 if o < side:
-                    h = h * base + x[:, o + length] - x[:, o] * out
+                    h = h * base + code[near[o + length]] - code[near[o]] * out
         hit = np.flatnonzero(lone)
         return pa.table({"doc_id": pa.array(doc[hit]), "k": pa.array(k[hit]), "pos": pa.array(pos[hit]),
                          "starts": pa.array(lone[hit])})

@@ -231,7 +231,8 @@ def search(pages: DataFrame, queries: DataFrame, top: dict[int, float], k: int =
         rows = marked.filter(F.col("block") == block).select("vec_id", "v").toArrow()  # about a block's rows
         shared = spark.sparkContext.broadcast(([*rows.column(0).to_pylist()], [*rows.column(1).to_pylist()], top))
 
-        part = pages.groupBy("dim", "shard").applyInArrow(_searcher(shared, k), RESULT)
+        part = cut_lineage(pages.groupBy("dim", "shard").applyInArrow(_searcher(shared, k), RESULT), "mtree-found")
+        shared.unpersist()
         found = part if found is None else found.union(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
