@@ -79,3 +79,28 @@ def test_family_levels_shrink_geometrically():
         sizes = [len(x[0]) for x in f.levels]
         assert all(a >= 2 * z for a, z in zip(sizes, sizes[1:]))
     assert f.shared_heads().tolist() == sorted(h for h, d in seen.items() if len(d) > 1)
+
+
+def test_no_head_fills_a_group(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdef ") for _ in range(40))
+    passage = word() * 2 + "é" + word() + "-" * 120
+    docs = [(i, word() + (passage if i % 3 else "") + word()) for i in range(300)]
+    docs += [(400, "a" * 3000), (401, "b" + "a" * 2500), (402, "ab" * 900 + passage[30:100]), (401, "ab" * 700), (None, passage)]
+    held = []
+
+    def watched(f):
+        def run(packed, *args):
+            kind, n = np.uint32 if f.__name__ == "shared_entries" else np.uint64, {}
+            for r in packed.select("shard", "head").collect():
+                for h in np.frombuffer(r.head, kind).tolist():
+                    n[r.shard, h] = n.get((r.shard, h), 0) + 1
+            held.append(max(n.values(), default=0))
+            return f(packed, *args)
+        return run
+
+    monkeypatch.setattr(sd, "HOT_ENTRIES", 100, raising=False)
+    for name in ("shared_entries", "matches"):
+        monkeypatch.setattr(sd, name, watched(getattr(sd, name)))
+    check(spark, docs)
+    assert len(held) >= 2 and max(held) <= 100

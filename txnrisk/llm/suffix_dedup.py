@@ -12,19 +12,25 @@ bytes.
 
 0. Of equal texts only those of the smallest id go on: a later one is all
    match, and adds none that the first doesn't give.
-1. Entries go to shards by hash.  Within a shard, batches of entries get a
+1. Entries are counted by slot of their hash; slots that hold far more than
+   others, of passages many documents have or runs of equal bytes, are hot.
+2. Entries of other slots go to shards by hash.  Within a shard, batches of entries get a
    sorted array each, are scanned in step with all existing levels for equal
    heads in other documents, and become a level; levels of like size merge
    (``Family``), so that an entry is merged a logarithmic number of times.
-2. Entries with a head that several documents have go back to their documents,
+3. Entries with a head that several documents have go back to their documents,
    which cut the bytes around: all strings of ``length`` bytes that hold the
    entry lie in them.
-3. Per head these strings are compared by a second, 64-bit hash of all their bytes;
+4. Per head these strings are compared by a second, 64-bit hash of all their bytes;
    each but those of the smallest document is a match.
-4. Documents lose the union of their matches.
+5. Strings that hold an entry of a hot slot stay where their text is: two 64-bit
+   hashes of each are reduced to its smallest and greatest document, first per
+   block of texts, then per task, then over all, and joined back.
+6. Documents lose the union of their matches.
 
-All are Spark shuffles of packed blocks; a task holds one shard, and the number
-of shards follows the size of the input.
+All but 5 are Spark shuffles of packed blocks; a task holds one shard, the number
+of shards follows the size of the input, and no head has more entries in a shard
+than a slot may hold.
 
 Defined cases: a null text is empty; texts under ``length`` bytes lose nothing;
 rows that share an id never remove from each other (they are told apart by a
@@ -48,22 +54,29 @@ from txnrisk.operators.joins import broadcast_table, sized
 
 LENGTH = 50
 ANCHOR = 24
-#: Entries of a shard in step 1, cut-outs of a shard in step 3, entries of a batch.
+#: Entries of a shard in step 2, cut-outs of a shard in step 4, entries of a batch.
 SHARD_ENTRIES = 400_000
 SHARD_CUTS = 40_000
 BATCH = 1 << 16
+#: Slots of heads, slots that are summed in one group, and the entries (or the
+#: multiple of the mean) beyond which a slot is hot.
+SLOTS = 1 << 20
+SLOT_GROUP = 1 << 11
+HOT_ENTRIES = 40_000
+HOT_MEANS = 4
 NO_ID = (1 << 63) - 1
 #: Files of a table of spans that may be broadcast; in memory it is many times as large.
 SPANS_MAX_FILE_BYTES = 4 << 20
 
 
-def head_hashes(buf: np.ndarray, n: int = ANCHOR) -> np.ndarray:
+def head_hashes(buf: np.ndarray, n: int = ANCHOR, seed: int = 0) -> np.ndarray:
     """Hash of the ``n`` bytes at each position (none beyond the last): hashes
     of 1, 2, 4, ... bytes by doubling, put together by the bits of ``n``."""
     if len(buf) < n:
         return np.zeros(0, np.uint64)
     last = len(buf) - n + 1
-    part, power, size, done = tokens.mix(buf.astype(np.uint64) + np.uint64(1)), np.uint64(0x9E3779B97F4A7C15), 1, 0
+    part = tokens.mix(buf.astype(np.uint64) + np.uint64(1 + (seed << 8)))
+    power, size, done = np.uint64(0x9E3779B97F4A7C15 + (seed << 17)), 1, 0
     out = np.zeros(last, np.uint64)
     while True:
         if n & size:
@@ -154,20 +167,75 @@ def _joined(t: pa.Table, name: str, kind) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) for x in t.column(name)]
 
 
-def entries(docs: DataFrame, shards: int, length: int = LENGTH) -> DataFrame:
-    """``docs(doc_id, k, t)`` to packed entries ``(shard, head, doc, k, pos)``; 32 bits
-    of a head beside the shard's are kept: a chance match costs a comparison."""
+def _anchored(b: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of a batch ``(doc_id, k, t)`` that hold anchors: bytes, offsets of
+    the rows in them, the first row, places of the rows' starts in them (before
+    0 in a later piece of a row), anchors and their hashes."""
+    buf, off = tokens.column_bytes(b.column(2))
+    for a, z, lo, hi in _pieces(off, length):
+        own = np.clip(off[a:z + 1], lo, hi) - lo
+        at, h = anchors(buf[lo:hi], own, length)
+        if len(at):
+            yield buf[lo:hi], own, a, off[a:z] - lo, at, h
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def hot_slots(docs: DataFrame, length: int = LENGTH, hot_entries: int | None = None) -> np.ndarray:
+    """Slots of ``docs(doc_id, k, t)`` with more than ``hot_entries`` entries and
+    ``HOT_MEANS`` times the mean; each partition sends one number a slot."""
+    least = HOT_ENTRIES if hot_entries is None else hot_entries
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for *_, h in _anchored(b, length):
+                n += np.bincount(_slot(h), minlength=SLOTS)
+        groups = n.reshape(-1, SLOT_GROUP)
+        some = np.flatnonzero(groups.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([groups[i].tobytes() for i in some], pa.binary())], ["part", "n"])
+
+    def add(t: pa.Table) -> pa.Table:
+        n = np.zeros(SLOT_GROUP, np.int64)
+        for x in _joined(t, "n", np.int64):
+            n += x
+        many = np.flatnonzero(n > least)
+        return pa.table({"slot": pa.array(np.append(t.column("part")[0].as_py() * SLOT_GROUP + many, -1)),
+                         "n": pa.array(np.append(n[many], n.sum()))})
+
+    counts = written(small_batches(docs).mapInArrow(count, "part long, n binary").groupBy("part").applyInArrow(
+        add, "slot long, n long"), "suffix-slots")
+    total = counts.filter("slot < 0").agg(F.sum("n")).first()[0] or 0
+    hot = counts.filter((F.col("slot") >= 0) & (F.col("n") > HOT_MEANS * total / SLOTS))
+    return hot.select("slot").toPandas()["slot"].to_numpy(np.int64)  # SLOTS / HOT_MEANS at most
+
+
+def _mask(slots: np.ndarray) -> np.ndarray:
+    out = np.zeros(SLOTS, bool)
+    out[slots] = True
+    return out
+
+
+def entries(docs: DataFrame, shards: int, length: int = LENGTH, hot: np.ndarray | None = None) -> DataFrame:
+    """``docs(doc_id, k, t)`` to packed entries ``(shard, head, doc, k, pos)`` outside
+    the slots ``hot``; 32 bits of a head beside the shard's are kept: a chance
+    match costs a comparison."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.int64) if hot is None else hot)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = _mask(shared.value)
         for b in batches:
             ids, ks = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            buf, off = tokens.column_bytes(b.column(2))
-            for a, z, lo, hi in _pieces(off, length):
-                own = np.clip(off[a:z + 1], lo, hi) - lo
-                at, h = anchors(buf[lo:hi], own, length)
+            for _, own, a, begin, at, h in _anchored(b, length):
+                cold = ~mask[_slot(h)]
+                at, h = at[cold], h[cold]
                 if not len(at):
                     continue
-                row = np.searchsorted(own, at, side="right") - 1 + a
-                pos = (at + lo - off[row]).astype(np.int32)
+                row = np.searchsorted(own, at, side="right") - 1
+                pos = (at - begin[row]).astype(np.int32)
+                row += a
                 rows = [*_packed((h >> np.uint64(32)).astype(np.int64) % shards, h.astype(np.uint32), ids[row], ks[row], pos)]
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows]), *[
                     pa.array([c[i] for _, c in rows], pa.binary()) for i in range(4)]], ["shard", "head", "doc", "k", "pos"])
@@ -175,6 +243,68 @@ def entries(docs: DataFrame, shards: int, length: int = LENGTH) -> DataFrame:
     return small_batches(docs).mapInArrow(run, "shard long, head binary, doc binary, k binary, pos binary")
 
 
+def _hot_strings(b: pa.RecordBatch, length: int, mask: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, start in the row and two hashes of each string of ``length`` bytes
+    that holds an anchor of a hot slot, a piece at a time."""
+    for buf, own, a, begin, at, h in _anchored(b, length):
+        at = at[mask[_slot(h)]]
+        row = np.searchsorted(own, at, side="right") - 1
+        lo, hi = np.maximum(at - (length - ANCHOR), own[row]), np.minimum(at, own[row + 1] - length)
+        step = np.zeros(len(buf) + 1, np.int64)
+        np.add.at(step, lo[lo <= hi], 1)
+        np.add.at(step, hi[lo <= hi] + 1, -1)
+        start = np.flatnonzero(np.cumsum(step))
+        if len(start):
+            row = np.searchsorted(own, start, side="right") - 1
+            yield row + a, start - begin[row], *(head_hashes(buf, length, s)[start].view(np.int64) for s in (0, 1))
+
+
+def _firsts(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by all columns, and where in it a new combination starts."""
+    by = np.lexsort(columns[::-1])
+    new = np.zeros(max(0, len(by) - 1), bool)
+    for c in columns:
+        new |= c[by[1:]] != c[by[:-1]]
+    return by, np.flatnonzero(np.append(True, new))
+
+
+def hot_matches(docs: DataFrame, hot: np.ndarray, length: int = LENGTH) -> DataFrame:
+    """``(doc_id, k, pos, starts)`` as ``matches`` has it, for the strings that hold
+    an entry of the slots ``hot``.  Texts are read twice instead of written:
+    for the smallest document of each string, then to find those of others."""
+    side = length - ANCHOR
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = _mask(shared.value)
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for row, _, h1, h2 in _hot_strings(b, length, mask):
+                by, at = _firsts(h1, h2)
+                doc = ids[row[by]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                    h1[by[at]], h2[by[at]], np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at))], ["h1", "h2", "low", "high"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = _mask(shared.value)
+        for b in batches:
+            ids, ks = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for row, start, h1, h2 in _hot_strings(b, length, mask):
+                cell = start // (side + 1)
+                by, at = _firsts(row, h1, h2, cell)
+                bits = np.bitwise_or.reduceat(np.int64(1) << (start - cell * (side + 1))[by], at)
+                one = by[at]
+                pos = (cell[one] * (side + 1) + side).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                    ids[row[one]], ks[row[one]], h1[one], h2[one], pos, bits)], ["doc_id", "k", "h1", "h2", "pos", "starts"])
+
+    least = written(small_batches(docs).mapInArrow(reduce, "h1 long, h2 long, low long, high long").groupBy("h1", "h2").agg(
+        F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("h1", "h2", "low"), "suffix-strings")
+    marks = small_batches(docs).mapInArrow(mark, "doc_id long, k long, h1 long, h2 long, pos int, starts long")
+    return marks.join(broadcast_table(least, SPANS_MAX_FILE_BYTES), ["h1", "h2"]).filter("doc_id > low").groupBy(
+        "doc_id", "k", "pos").agg(F.bit_or("starts").alias("starts"))
+
+
 def shared_entries(packed: DataFrame) -> DataFrame:
     """``(doc_id, k, pos)`` of entries whose head several documents have."""
     def run(t: pa.Table) -> pa.Table:
@@ -340,11 +470,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, doc: str = "doc_id", text: str
     own = rows.join(broadcast_table(copies), ["doc_id", "k"], "left_anti").select("doc_id", "k", "t")
     total = names.agg(F.sum("n")).first()[0] or 0
     shards = max(32, -(-2 * total // (length - ANCHOR + 2) // SHARD_ENTRIES))
-    shared = written(shared_entries(entries(own, shards, length)), "suffix-shared")
+    hot = hot_slots(own, length)
+    shared = written(shared_entries(entries(own, shards, length, hot)), "suffix-shared")
     places = shared.groupBy("doc_id", "k").agg(F.collect_list("pos").alias("pos"))
     cuts = cut_outs(own.join(places, ["doc_id", "k"]).select("doc_id", "k", "t", "pos"),
                     max(32, -(-shared.count() // SHARD_CUTS)), length)
-    found = written(runs(matches(cuts, length), length), "suffix-found")
+    same = matches(cuts, length)
+    if len(hot):
+        same = same.unionByName(hot_matches(own, hot, length))
+    found = written(runs(same, length), "suffix-found")
     out = rows.join(broadcast_table(copies), ["doc_id", "k"], "left").join(
         broadcast_table(found, SPANS_MAX_FILE_BYTES), ["doc_id", "k"], "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("t").cast("long").alias("end")))
