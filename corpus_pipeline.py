@@ -18,10 +18,9 @@ What each stage decides:
   taken``.
 
 Defined cases: a null text counts as empty and stays null where nothing is
-replaced; rows with a null id are judged by their text and are never dropped as
-duplicates; repeated rows of one id: quality and leaks are judged by id, so if
-one goes all of that id go, and one of equal ids stays in the near-duplicate
-stage; other columns are carried along, those that clash with the mixture's
+replaced; quality and leaks are judged row by row, also where ids are null or
+repeat; rows with a null id are never dropped as duplicates, and one of equal
+ids stays in the near-duplicate stage; other columns are carried along, those that clash with the mixture's
 names are replaced; an empty table gives an empty result.
 """
 
@@ -42,26 +41,31 @@ from txnrisk.sources.tables import read_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.classify(docs, read_table(spark, sf_dir, "labels"), held_out=fold(5) == 0)
-    return _without(docs, scored.filter("predicted = 0").select("doc_id"))
+    rows, key = _keyed(docs)
+    held_out = fold(5) == 0
+    model = quality.learn(rows, read_table(spark, sf_dir, "labels"), held_out)
+    scored = quality.score(rows.select(F.col(key).cast("long").alias("doc_id"), held_out.alias("held_out"),
+                                       F.coalesce("text", F.lit("")).cast("binary").alias("t")), model)
+    return _without(rows, scored.filter("predicted = 0"), key).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash_dedup.dedup(docs)
-    out = _without(docs, groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    out = _without(docs, groups.filter(F.col("doc_id") != F.col("component_id")), "doc_id").select(*docs.columns)
     again = cut_lineage(out.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "ids")
     if again.isEmpty():
         return out
     # rows that repeat an id: the first by all columns stays
     twice = out.join(sized(again, materialize=False), "doc_id", "left_semi").groupBy("doc_id").agg(
         F.min(F.struct(*[c for c in out.columns if c != "doc_id"])).alias("row"))
-    return _without(out, again).unionByName(twice.select(
+    return _without(out, again, "doc_id").unionByName(twice.select(
         "doc_id", *[F.col("row")[c].alias(c) for c in out.columns if c != "doc_id"]))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tainted = decontaminate.matches(docs, read_table(spark, sf_dir, "benchmark"))
-    return _without(docs, tainted.select("doc_id"))
+    rows, key = _keyed(docs)
+    tainted = decontaminate.matches(rows, read_table(spark, sf_dir, "benchmark"), doc=key)
+    return _without(rows, tainted, key).select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,17 +82,26 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     new = ["size", "source_size", "target", "rate", "copies", "taken"]
-    docs, key = docs.drop(*new), "doc_id"
-    if not docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
-        # ids that don't tell rows apart: number the rows of a written table
-        docs, key = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows"), "_row"
-    mixed = source_mix.mix(docs, doc=key).select(F.col("doc_id").alias(key), *new)
-    return docs.join(sized(mixed), key).drop("_row").select(*[c for c in docs.columns if c != "_row"], *new)
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``ids``."""
-    return docs.join(sized(ids.distinct()), "doc_id", "left_anti").select(*docs.columns)
+    docs = docs.drop(*new)
+    rows, key = _keyed(docs)
+    mixed = source_mix.mix(rows, doc=key).select(F.col("doc_id").alias(key), *new)
+    return rows.join(sized(mixed), key).select(*docs.columns, *new)
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and the column that tells its rows apart: their ids, or where
+    these repeat or are null a number given to the rows of a written table."""
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs, "doc_id"
+    key = "_row"
+    while key in docs.columns:
+        key = "_" + key
+    return cut_lineage(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
+def _without(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is not a ``doc_id`` of ``found``."""
+    return rows.join(sized(found.select(F.col("doc_id").alias(key)).distinct()), key, "left_anti")
 
 
 STAGES = [

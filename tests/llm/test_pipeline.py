@@ -48,3 +48,17 @@ def test_leaks_go(spark):
     docs = frame(spark, [(1, f"before {item} after"), (2, "something else"), (None, item)])
     assert {r.doc_id for r in stage(spark, "decontaminate", docs).collect()} >= {2}
     assert 1 not in {r.doc_id for r in stage(spark, "decontaminate", docs).collect()}
+
+
+def test_rows_are_judged_where_ids_are_null_or_repeat(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    docs = frame(spark, [(1, "a clean text"), (1, f"before {item} after"), (2, "something else"), (None, item), (None, "clean too")])
+    left = {(r.doc_id, r.text) for r in stage(spark, "decontaminate", docs).collect()}
+    assert left == {(1, "a clean text"), (2, "something else"), (None, "clean too")}
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.text for r in stage(spark, "quality", given).collect()}
+    gone = {r.text for r in given.collect()} - kept
+    good, bad = min(kept), min(gone)
+    more = frame(spark, [(None, bad), (None, good), (-7, bad), (-7, good)]).select(*given.columns)
+    out = stage(spark, "quality", given.unionByName(more)).filter("doc_id IS NULL OR doc_id = -7").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [(-7, good), (0, good)]
