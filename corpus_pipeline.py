@@ -10,7 +10,7 @@ What each stage decides:
 * ``quality``: rows that the classifier scores below its threshold go.  It is
   learned from the labels of rows outside fold 0 among the stage's input.
 * ``near_duplicates``: of each group of linked fingerprints one row stays, the
-  smallest id (of rows that repeat that id, one).
+  smallest id (null last; of rows that repeat it, the smallest by a hash of the row).
 * ``decontaminate``: rows that a benchmark item's tiles taint go.
 * ``secrets``: every span found is replaced by ``[SECRET]`` and ``n_chars``
   follows; no row goes.
@@ -18,9 +18,8 @@ What each stage decides:
   taken``.
 
 Defined cases: a null text counts as empty and stays null where nothing is
-replaced; quality and leaks are judged row by row, also where ids are null or
-repeat; rows with a null id are never dropped as duplicates, and one of equal
-ids stays in the near-duplicate stage; other columns are carried along, those that clash with the mixture's
+replaced; all stages judge row by row, also where ids are null or repeat, so
+rows of one id with different texts don't share a fate; other columns are carried along, those that clash with the mixture's
 names are replaced; an empty table gives an empty result.
 """
 
@@ -50,16 +49,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash_dedup.dedup(docs)
-    out = _without(docs, groups.filter(F.col("doc_id") != F.col("component_id")), "doc_id").select(*docs.columns)
-    again = cut_lineage(out.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "ids")
-    if again.isEmpty():
-        return out
-    # rows that repeat an id: the first by all columns stays
-    twice = out.join(sized(again, materialize=False), "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.min(F.struct(*[c for c in out.columns if c != "doc_id"])).alias("row"))
-    return _without(out, again, "doc_id").unionByName(twice.select(
-        "doc_id", *[F.col("row")[c].alias(c) for c in out.columns if c != "doc_id"]))
+    rows, key = _keyed(docs)
+    groups = simhash_dedup.dedup(rows, doc=key)
+    if key == "doc_id":
+        return _without(rows, groups.filter("doc_id != component_id"), key)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
+                     F.xxhash64(*docs.columns).alias("hash"), F.col(key).alias("row"))
+    members = cut_lineage(groups.select(F.col("doc_id").alias("row"), "component_id").join(
+        rows.select(F.col(key).alias("row"), order.alias("order")), "row"), "near-members")
+    stays = members.groupBy("component_id").agg(F.min("order").alias("first"), F.count("*").alias("n")).filter(
+        "n > 1").select("component_id", F.col("first.row").alias("stays"))
+    gone = members.join(sized(stays), "component_id").filter("row != stays").select(F.col("row").alias("doc_id"))
+    return _without(rows, gone, key).select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

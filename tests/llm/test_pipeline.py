@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as cp
 from corpus import ODD, SF, clashing, frame
 from pyspark.sql import functions as F
@@ -62,3 +64,11 @@ def test_rows_are_judged_where_ids_are_null_or_repeat(spark):
     more = frame(spark, [(None, bad), (None, good), (-7, bad), (-7, good)]).select(*given.columns)
     out = stage(spark, "quality", given.unionByName(more)).filter("doc_id IS NULL OR doc_id = -7").collect()
     assert sorted((r.doc_id or 0, r.text) for r in out) == [(-7, good), (0, good)]
+
+
+def test_one_row_of_each_near_group_stays(spark):
+    rng = random.Random(6)
+    a, b, c, d, e, f = (" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(60)) for _ in range(6))
+    docs = frame(spark, [(7, a), (9, a), (7, b), (3, b), (8, c), (8, d), (None, e), (None, e), (None, f), (4, f)])
+    left = sorted(((r.doc_id, r.text) for r in stage(spark, "near_duplicates", docs).collect()), key=repr)
+    assert left == sorted([(7, a), (3, b), (8, c), (8, d), (None, e), (4, f)], key=repr)
