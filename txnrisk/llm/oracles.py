@@ -111,16 +111,16 @@ def _merkle_log(levels: int = 6) -> str:
   FROM {name}{k} GROUP BY tree, i // 16))"""
         return out
 
-    def climb(name: str, level: str, fold: str, proof: str, at: str, key: str, start: str) -> str:
-        """Folds ``fold`` up the tree and collects siblings; ``at``: the leaf's place."""
+    def climb(name: str, level: str, key: str, start: str) -> str:
+        """Folds ``fold`` up the tree from its ``place`` and collects siblings."""
         out, before = "", start
         for k in range(levels):
             out += f""",
 {level}g{k} AS (SELECT tree, i // 16 AS run, list(d ORDER BY i) AS ds, any_value(lone) AS lone FROM {name}{k} GROUP BY tree, i // 16),
-{level}{k} AS (SELECT b.* EXCLUDE (fold, proof, at), at // 16 AS at,
-    CASE WHEN lone THEN fold ELSE sha256(list_aggregate(ds[1:at % 16] || [fold] || ds[at % 16 + 2:], 'string_agg', '')) END AS fold,
-    CASE WHEN lone THEN proof ELSE proof || coalesce(list_aggregate(ds[1:at % 16] || ds[at % 16 + 2:], 'string_agg', ''), '') END AS proof
-  FROM {before} b JOIN {level}g{k} g ON b.{key} = g.tree AND b.at // 16 = g.run)"""
+{level}{k} AS (SELECT b.* EXCLUDE (fold, proof, place), place // 16 AS place,
+    CASE WHEN lone THEN fold ELSE sha256(list_aggregate(ds[1:place % 16] || [fold] || ds[place % 16 + 2:], 'string_agg', '')) END AS fold,
+    CASE WHEN lone THEN proof ELSE proof || coalesce(list_aggregate(ds[1:place % 16] || ds[place % 16 + 2:], 'string_agg', ''), '') END AS proof
+  FROM {before} b JOIN {level}g{k} g ON b.{key} = g.tree AND b.place // 16 = g.run)"""
             before = f"{level}{k}"
         return out
 
@@ -138,8 +138,8 @@ leaves AS (SELECT d.doc_id, tree, row_number() OVER (PARTITION BY tree ORDER BY
 {tree('n', 'leaves')},
 subs AS (SELECT 0 AS tree, tree AS i, d FROM n{last}),
 {tree('m', 'subs')},
-d0 AS (SELECT doc_id, tree, tree AS sub, leaf, i AS at, fold, '' AS proof FROM leaves){climb('n', 'u', 'fold', 'proof', 'at', 'tree', 'd0')},
-s0 AS (SELECT doc_id, sub, 0 AS zero, leaf, sub AS at, fold, proof FROM u{levels - 1}){climb('m', 'w', 'fold', 'proof', 'at', 'zero', 's0')}
+d0 AS (SELECT doc_id, tree, tree AS sub, leaf, i AS place, fold, '' AS proof FROM leaves){climb('n', 'u', 'tree', 'd0')},
+s0 AS (SELECT doc_id, sub, 0 AS zero, leaf, sub AS place, fold, proof FROM u{levels - 1}){climb('m', 'w', 'zero', 's0')}
 SELECT w.doc_id, leaf, n.d AS subroot, m.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = m.d AS verified
 FROM w{levels - 1} w JOIN n{last} n ON w.sub = n.tree JOIN m{last} m ON true"""
 
