@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrisk.llm import (chat_format, decontaminate, lang_id, merkle_log, oracles, quality, secret_scan, simhash_dedup,
-                         source_mix, suffix_dedup, vector_search, warc_store)
+from txnrisk.llm import (best_fit_pack, chat_format, decontaminate, lang_id, merkle_log, oracles, quality, secret_scan,
+                         simhash_dedup, source_mix, suffix_dedup, vector_search, warc_store)
 from txnrisk.llm.columns import once
 from txnrisk.sources.tables import read_table
 
@@ -109,6 +109,13 @@ def op11_merkle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                              F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
 
 
+@query
+def op12_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    return best_fit_pack.pack(read_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+
+
 ORACLES: dict[str, str] = {"op2_secret_scan": oracles.SECRET_SCAN, "op6_chat_format": oracles.CHAT_FORMAT,
                            "op8_vector_search": oracles.VECTOR_SEARCH, "op9_warc_store": oracles.WARC_STORE,
                            "op11_merkle_log": oracles.MERKLE_LOG}
