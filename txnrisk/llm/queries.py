@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrisk.llm import (best_fit_pack, chat_format, decontaminate, lang_id, merkle_log, oracles, quality, secret_scan,
-                         simhash_dedup, source_mix, suffix_dedup, vector_search, warc_store)
+from txnrisk.llm import (best_fit_pack, chat_format, decontaminate, hard_negatives, lang_id, merkle_log, oracles, quality,
+                         secret_scan, simhash_dedup, source_mix, suffix_dedup, vector_search, warc_store)
 from txnrisk.llm.columns import once
 from txnrisk.sources.tables import read_table
 
@@ -116,6 +116,12 @@ def op12_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack.pack(read_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.taking_part(read_table(spark, sf_dir, "embeddings"), label=label), F.col("id") % 100 == 0)
+
+
 ORACLES: dict[str, str] = {"op2_secret_scan": oracles.SECRET_SCAN, "op6_chat_format": oracles.CHAT_FORMAT,
                            "op8_vector_search": oracles.VECTOR_SEARCH, "op9_warc_store": oracles.WARC_STORE,
-                           "op11_merkle_log": oracles.MERKLE_LOG}
+                           "op11_merkle_log": oracles.MERKLE_LOG, "op13_hard_negatives": oracles.HARD_NEGATIVES}
