@@ -76,3 +76,11 @@ def test_empty_table_and_digest(spark):
     assert ss.scan(frame(spark, [])).collect() == []
     r = ss.scan(frame(spark, [(1, "deadbeef" * 2)])).select(F.sha2(ss.joined(F.col("spans")), 256).alias("h")).first()
     assert r.h == hashlib.sha256(b"hex:0:16").hexdigest()
+
+
+def test_long_hyphened_texts(spark):
+    """No pattern may recurse by the text's length."""
+    texts = ["ab-" * 60_000, "ab-" * 60_000 + "ab", "a" * 200_000, "x/" * 50_000 + KEY, "token=" + "a-" * 60_000, "a--b" * 9000]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in ss.scan(frame(spark, [*enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == sorted(base(t) + entropy(t)), t[:20]

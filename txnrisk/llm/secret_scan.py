@@ -132,7 +132,11 @@ def _entropy_spans(cand: Column, start: Column, window: int = WINDOW) -> Column:
 
 
 def allowed(cand: Column) -> Column:
-    return F.rlike(cand, F.lit("|".join(ALLOW)))
+    """Whether a candidate is on the allow list.  Java matches the repeated group of
+    the last pattern by recursion, as deep as the text is long; three flat patterns say the same."""
+    words = (F.rlike(cand, F.lit("^[A-Za-z][A-Za-z/_-]*[A-Za-z]$")) & F.rlike(cand, F.lit("[-_/]"))
+             & ~F.rlike(cand, F.lit("[-_/][-_/]")))
+    return F.rlike(cand, F.lit("|".join(ALLOW[:-1]))) | words
 
 
 def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
