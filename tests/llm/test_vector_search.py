@@ -1,5 +1,6 @@
 import math
 import random
+import struct
 
 from corpus import clashing, rows
 from pyspark.sql import functions as F
@@ -10,12 +11,12 @@ SCHEMA = "vec_id long, embedding array<float>"
 
 
 def brute(data, every, k=5):
-    v = {(i, tuple(math.floor(256 * x) for x in e)) for i, e in data
+    v = {(i, tuple(max(-2**63, min(2**63 - 1, math.floor(256 * x))) for x in e)) for i, e in data
          if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)}
     out = []
     for q, a in {(i, x) for i, x in v if i % every == 0}:
         c = sorted(((-sum(x * y for x, y in zip(a, b)), i) for i, b in v if i != q and len(a) == len(b)))[:k]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(c)]
+        out += [(q, r + 1, i, max(-2**63, min(2**63 - 1, -s))) for r, (s, i) in enumerate(c)]
     return sorted(out)
 
 
@@ -49,3 +50,13 @@ def test_many_shards_and_query_blocks(spark, monkeypatch):
     assert pages.select("shard").distinct().count() > 3
     got = vs.search(pages, rows_.filter("vec_id % 5 = 0"), top, query_block=13)
     assert sorted(rows(got)) == brute(data, 5)
+
+
+def test_negative_ids(spark):
+    check(spark, [(i, [0.5, 0.25]) for i in (-5, -1, 0, 3)] + [(-2, [0.1, 0.1]), (-10, [1.0, -1.0])])
+
+
+def test_large_scores_are_whole(spark):
+    rng = random.Random(4)
+    for top in (1e5, 1e9, 1e14, 1e25):
+        check(spark, [(i - 30, [struct.unpack("f", struct.pack("f", rng.uniform(top / 2, top)))[0] for _ in range(16)]) for i in range(90)])

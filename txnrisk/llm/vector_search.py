@@ -10,8 +10,8 @@ Search keeps pages by their least possible distance and stops when that exceeds
 the k-th best found.  Before it computes an entry's distance it takes the
 triangle bound |d(q, page router) - d(entry, page router)| from stored
 distances, and skips what cannot come near enough.  Bounds are loosened by a
-relative ``SLACK`` against rounding; scores themselves are whole numbers,
-exact, and ties go to the smaller id.
+relative ``SLACK`` against rounding; what they leave is scored in whole numbers,
+in doubles only where no sum can reach 2^53, and ties go to the smaller id.
 
 Spark's part: vectors go to ``shards`` by hash, and a tree per shard is written
 as a table of pages; queries, in blocks of ``QUERY_BLOCK``, are searched in all
@@ -23,7 +23,9 @@ Defined cases: vectors that are null or hold a null, a NaN or an infinity take
 no part, neither as queries nor as candidates; empty vectors are like any other
 (score 0); vectors of a length other than the query's are not its candidates;
 a query's own id is never its candidate; repeated rows of one id count once per
-distinct vector, so that an id may be listed with two scores; queries without
+distinct vector, so that an id may be listed with two scores; components whose
+``scale``-fold doesn't fit a long count as the nearest long, scores beyond a
+long are ranked as they are and returned as the nearest one; queries without
 candidates and empty tables give no rows; other columns are ignored.
 """
 
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +48,9 @@ PAGE = 512
 SHARD_ROWS = 4096
 QUERY_BLOCK = 4096
 SLACK = 1e-9
-RESULT = "query_id long, vec_id long, score long"
-PAGES = ("dim int, shard long, page int, leaf boolean, ids array<long>, vectors binary, to_router array<double>, "
-         "radius array<double>, child array<int>")
+RESULT = "query_id long, vec_id long, score decimal(38,0)"
+PAGES = ("dim int, shard long, page int, leaf boolean, ids array<array<long>>, vectors binary, further array<double>, "
+         "to_router array<double>, radius array<double>, child array<int>")
 
 
 def whole_vectors(vectors: DataFrame, scale: int = SCALE, vec: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -66,12 +69,12 @@ def distinct_vectors(rows: DataFrame, k: int = K) -> DataFrame:
 
 
 def _matrix(col: pa.ListArray) -> np.ndarray:
-    return np.array(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1)
+    return np.array(col.flatten().to_numpy(zero_copy_only=False), np.int64).reshape(len(col), -1)
 
 
 class Tree:
     """M-tree pages of one shard.  Rows of ``x`` are points (with their further
-    coordinate); entries of pages hold points or routers."""
+    coordinate); entries of pages are rows, points of a leaf or routers."""
 
     def __init__(self, x: np.ndarray, page: int = PAGE):
         self.pages: list[dict] = []
@@ -83,7 +86,8 @@ class Tree:
         if len(rows) <= page:
             return self._leaf(x, rows, router)
         parts = min(page, -(-2 * len(rows) // page))  # children about half full
-        centers = x[rng.choice(rows, parts, replace=False)]
+        chosen = rng.choice(rows, parts, replace=False)
+        centers = x[chosen]
         near = _distances(x[rows], centers).argmin(1)
         if (np.bincount(near, minlength=parts) == len(rows)).any():  # points alike: cut anywhere
             near = np.arange(len(rows)) * parts // len(rows)
@@ -92,18 +96,18 @@ class Tree:
             mine = rows[near == c]
             if len(mine):
                 child, radius = self._grow(x, mine, centers[c], page, rng)
-                entries.append((centers[c], radius, child))
-        vs = np.array([e[0] for e in entries])
-        to = _distances(vs, router[None])[:, 0] if router is not None else np.zeros(len(vs))
+                entries.append((chosen[c], radius, child))
+        routers = np.array([e[0] for e in entries])
+        to = _distances(x[routers], router[None])[:, 0] if router is not None else np.zeros(len(routers))
         radius = np.array([e[1] for e in entries])
-        self.pages.append({"leaf": False, "rows": np.zeros(0, np.int64), "v": vs, "to": to, "radius": radius,
+        self.pages.append({"leaf": False, "rows": routers, "to": to, "radius": radius,
                            "child": np.array([e[2] for e in entries], np.int32)})
         cover = float(_distances(x[rows], router[None]).max()) if router is not None else 0.0
         return len(self.pages) - 1, cover
 
     def _leaf(self, x: np.ndarray, rows: np.ndarray, router: np.ndarray | None) -> tuple[int, float]:
         to = _distances(x[rows], router[None])[:, 0] if router is not None else np.zeros(len(rows))
-        self.pages.append({"leaf": True, "rows": rows, "v": x[rows], "to": to, "radius": np.zeros(len(rows)),
+        self.pages.append({"leaf": True, "rows": rows, "to": to, "radius": np.zeros(len(rows)),
                            "child": np.zeros(0, np.int32)})
         return len(self.pages) - 1, float(to.max(initial=0.0))
 
@@ -113,10 +117,11 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0.0))
 
 
-def best_first(pages: dict[int, dict], root: int, q: np.ndarray, own: int, k: int, m: float) -> list[tuple[int, int]]:
-    """``(score, vec_id)`` of the k best candidates of one shard.  ``q``: the
-    query with a 0 for the further coordinate."""
+def best_first(pages: dict[int, dict], root: int, whole: np.ndarray, own: int, k: int, m: float) -> list[tuple[int, int]]:
+    """``(score, vec_id)`` of the k best candidates of one shard for the query ``whole``."""
+    q = np.append(whole.astype(np.float64), 0.0)  # 0 for the further coordinate
     qq = float(q @ q)
+    total = sum(abs(int(c)) for c in whole)
     slack = SLACK * (qq + m + 1.0)
     best: list[tuple[int, int]] = []  # heap of (score, -id): the worst is first
 
@@ -141,9 +146,15 @@ def best_first(pages: dict[int, dict], root: int, q: np.ndarray, own: int, k: in
                 v = v[at]
         dot = v @ q  # the query's further coordinate is 0
         if p["leaf"]:
-            rows = np.flatnonzero(dot >= best[0][0]) if len(best) == k else np.arange(len(dot))
-            for s, row in zip(dot[rows].tolist(), rows.tolist()):
-                for i in p["ids"][row if at is None else at[row]]:
+            rows = np.flatnonzero(dot >= best[0][0] - slack) if len(best) == k else np.arange(len(dot))
+            here = rows if at is None else at[rows]
+            if p["most"] * total < 2 ** 53:
+                scores = dot[rows]
+            else:
+                kind = np.int64 if p["most"] * total < 2 ** 63 else object
+                scores = p["whole"][here].astype(kind) @ whole.astype(kind)
+            for s, row in zip(scores.tolist(), here.tolist()):
+                for i in p["ids"][row]:
                     if i == own:
                         continue
                     item = (int(s), -i)
@@ -172,18 +183,19 @@ def build(distinct: DataFrame, top: dict[int, float], page: int = PAGE, shard_ro
     def grow(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         dim, shard = t.column("dim")[0].as_py(), t.column("shard")[0].as_py()
-        x = _matrix(t.column("v").chunk(0)) if dim else np.zeros((t.num_rows, 0))
+        whole = _matrix(t.column("v").chunk(0)) if dim else np.zeros((t.num_rows, 0), np.int64)
+        x = whole.astype(np.float64)
         x = np.hstack([x, np.sqrt(np.maximum(norms.value[dim] - (x * x).sum(1), 0.0))[:, None]])
         ids = t.column("ids").to_pylist()
         tree = Tree(x, page)
         out = []
         for i, p in enumerate(tree.pages):
             out.append({"dim": dim, "shard": shard, "page": -1 - i if i == tree.root else i, "leaf": p["leaf"],
-                        "ids": [y for r in p["rows"] for y in (*ids[r], -1)], "vectors": p["v"].tobytes(),
-                        "to_router": p["to"], "radius": p["radius"], "child": p["child"]})
+                        "ids": [ids[r] for r in p["rows"]] if p["leaf"] else [], "vectors": whole[p["rows"]].tobytes(),
+                        "further": x[p["rows"], -1], "to_router": p["to"], "radius": p["radius"], "child": p["child"]})
         return pa.Table.from_pylist(out, schema=pa.schema([
-            ("dim", pa.int32()), ("shard", pa.int64()), ("page", pa.int32()), ("leaf", pa.bool_()), ("ids", pa.list_(pa.int64())),
-            ("vectors", pa.binary()), ("to_router", pa.list_(pa.float64())), ("radius", pa.list_(pa.float64())),
+            ("dim", pa.int32()), ("shard", pa.int64()), ("page", pa.int32()), ("leaf", pa.bool_()),
+            ("ids", pa.list_(pa.list_(pa.int64()))), ("vectors", pa.binary()), ("further", pa.list_(pa.float64())), ("to_router", pa.list_(pa.float64())), ("radius", pa.list_(pa.float64())),
             ("child", pa.list_(pa.int32()))]))
 
     return cut_lineage(rows.groupBy("dim", "shard").applyInArrow(grow, PAGES), "mtree")
@@ -195,14 +207,10 @@ def _load(t: pa.Table) -> tuple[dict[int, dict], int, int]:
     for r in t.to_pylist():
         number = r["page"] if r["page"] >= 0 else -1 - r["page"]
         root = number if r["page"] < 0 else root
-        ids: list[list[int]] = [[]]
-        for i in r["ids"]:
-            if i == -1 and ids[-1]:
-                ids.append([])
-            else:
-                ids[-1].append(i)
-        v = np.frombuffer(r["vectors"]).reshape(-1, dim + 1)
-        pages[number] = {"leaf": r["leaf"], "ids": ids, "v": v, "norms": (v * v).sum(1),
+        whole = np.frombuffer(r["vectors"], np.int64).reshape(len(r["further"]), dim)
+        v = np.hstack([whole.astype(np.float64), np.array(r["further"], np.float64)[:, None]])
+        pages[number] = {"leaf": r["leaf"], "ids": r["ids"], "v": v, "norms": (v * v).sum(1), "whole": whole,
+                         "most": max(abs(int(whole.min(initial=0))), int(whole.max(initial=0))),
                          "to": np.array(r["to_router"]), "radius": np.array(r["radius"]), "child": np.array(r["child"], np.int32)}
     return pages, root, dim
 
@@ -212,10 +220,11 @@ def _searcher(shared, k: int):
         ids, vs, norms = shared.value
         tree, root, dim = _load(t)
         out = [(own, i, s) for own, v in zip(ids, vs) if len(v) == dim
-               for s, i in best_first(tree, root, np.array([*v, 0.0], np.float64), own, k, norms[dim])]
+               for s, i in best_first(tree, root, np.array(v, np.int64), own, k, norms[dim])]
         q, i, s = zip(*out) if out else ((), (), ())
+        s = [Decimal(max(-10 ** 38 + 1, min(10 ** 38 - 1, x))) for x in s]
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()),
-                         "score": pa.array(s, pa.int64())})
+                         "score": pa.array(s, pa.decimal128(38, 0))})
     return run
 
 
@@ -235,7 +244,9 @@ def search(pages: DataFrame, queries: DataFrame, top: dict[int, float], k: int =
         shared.unpersist()
         found = part if found is None else found.union(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    bound = lambda x: F.lit(Decimal(x)).cast("decimal(38,0)")
+    near = F.greatest(F.least("score", bound(2 ** 63 - 1)), bound(-2 ** 63)).cast("long")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", near.alias("score"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, vec: str = "vec_id",
