@@ -108,7 +108,7 @@ def test_plan_stays_small():
 def test_words_are_those_of_whole_texts():
     words = bp.Words(FILE)
     blanks = [" ", "  ", "   ", "\n", "\n\n ", "\t", "\x0b", "\x1c", "\x85", "\xa0", "　 ", " ", "​", "﻿"]
-    bits = ["word", "don't", "'s", "''s", "42", "x9", "é", "日本語", "😀", "!?", "!\x1c", "_", "<|endoftext|>", "a" * 70, "-'ll"]
+    bits = ["word", "don't", "'s", "''s", "42", "x9", "é", "日本語", "😀", "!?", "!\x1c", ",'s", "word,", "a1", "²", "x²3", "ªb", "ſtɐ", "Ωm", "e\u0301", "(A)'T", "Don'tS", "__x", "_", "<|endoftext|>", "a" * 70, "-'ll"]
     rng = random.Random(6)
     for _ in range(400):
         text = "".join(rng.choice(blanks if rng.random() < 0.5 else bits) for _ in range(rng.randrange(30)))

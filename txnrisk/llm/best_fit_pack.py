@@ -23,9 +23,9 @@ among those of its length in its task; counts by task and length make that a
 rank.  Nothing is sorted, and texts are not shuffled.
 
 Tokens come from the tokenizer's file by ``tokenizers``.  A text is cut before
-white space that follows other characters, where its pre-tokenizer always
-cuts, and each such word is tokenized once and remembered (``CACHE`` words a
-worker, then anew): the ids are those of the whole text.
+white space that follows other characters and between a letter and an ASCII
+mark, where its byte-level pre-tokenizer always cuts, and each such word is tokenized
+once and remembered (``CACHE`` words a worker, then anew): the ids are those of the whole text.
 
 Defined cases: a null text is empty, and an empty document is its end id alone;
 rows that repeat an id are packed each for itself; an empty table gives no rows;
@@ -37,6 +37,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -52,10 +54,13 @@ from txnrisk.operators.joins import sized
 SIZE = 2048
 END = 0
 BLOCK = 1 << 18
-CACHE = 1 << 18
+CACHE = 1 << 20
 #: a longer word is not remembered
 WORD = 64
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: letters of \\p{L}, and ASCII that isn't; between the two a pre-token always ends
+LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+MARK = "\\x00-\\x08\\x0e-\\x1f!-@\\[-`{-\\x7f"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, ord long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: rows of (task, length) counts that may be broadcast
@@ -66,6 +71,13 @@ _RANK_BITS = 44
 
 # --- tokens -------------------------------------------------------------------------
 
+def _byte_letters() -> dict[int, str]:
+    """Letters that stand for bytes in a byte-level vocabulary: printable Latin-1 as it is, the others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(256 + others.index(b)) for b in range(256)}
+
+
 class Words:
     """Ids of texts as little-endian 32-bit bytes, word by word."""
 
@@ -74,11 +86,19 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.words = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        # letters before a blank or an ASCII mark, the rest up to the next such place, or blanks
+        self.words = re.compile(f"[{WHITE}]*[{LETTER}]+(?![^{MARK}{WHITE}])|[{WHITE}]*[^{WHITE}]+?"
+                                f"(?:(?<=[{LETTER}])(?=[{MARK}])|(?=[{WHITE}])|\\Z)|[{WHITE}]+").findall
+        self.plain = re.compile(f" ?[{LETTER}]+").fullmatch
         self.edge = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
+        added = {t.content: np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added, self.at_added = added, re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
+        if any(a in text for a in self.added):  # tokens of their own, in ordinary texts as well
+            return b"".join([self.added.get(part) or self.ids(part) for part in self.at_added.split(text) if part])
         if len(text) <= BLOCK:
             return self._block(text)
         out, at = [], 0
@@ -97,11 +117,28 @@ class Words:
             pass
         if len(known) > CACHE:
             known.clear()
-        new = list({w for w in words if w not in known})
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-        known.update((w, ids) for w, ids in fresh.items() if len(w) <= WORD)
+        fresh = {}
+        for w in words:
+            if w not in known and w not in fresh:
+                (known if len(w) <= WORD else fresh)[w] = self._word(w)
         return b"".join([known.get(w) or fresh[w] for w in words])
 
+    def _word(self, w: str) -> bytes:
+        if self.plain(w):  # the pre-tokenizer leaves it whole
+            ids = [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(w, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+
+def _words(tokenizer_file: str) -> Words:
+    """This worker process's ``Words``.  Functions travel by value, with globals of their
+    own for each task, so what outlives a task is kept in a module made here."""
+    kept = sys.modules.setdefault("_best_fit_pack_words", types.ModuleType("_best_fit_pack_words")).__dict__
+    if tokenizer_file not in kept:
+        kept[tokenizer_file] = Words(tokenizer_file)
+    return kept[tokenizer_file]
+
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
     """``(start, length)`` of the pieces of ``n`` ids."""
@@ -111,7 +148,7 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 
 def _tokenizer(tokenizer_file: str, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, counts = Words(tokenizer_file), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        words, part, counts = _words(tokenizer_file), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         last = np.array([end], "<u4").tobytes()
         for b in batches:
             out = []
