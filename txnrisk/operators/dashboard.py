@@ -16,16 +16,19 @@ HISTORY_COLUMNS = ["transaction_id", "amount", "merchant_category", "location",
 
 
 def history(scored: DataFrame) -> DataFrame:
-    """History record: result fields plus the transaction fields shown."""
+    """History record: result fields plus the transaction fields shown, and
+    the processing time (seconds) where the scored rows carry one."""
+    timed = ["processing_time"] if "processing_time" in scored.columns else []
     return scored.select(
         ID, "amount", "merchant_category", "location",
         F.col("is_fraud_pred").alias("is_fraud"), "fraud_probability", "risk_level",
-        "confidence_score", F.col("event_time").alias("timestamp"))
+        "confidence_score", *timed, F.col("event_time").alias("timestamp"))
 
 
 def history_view(hist: DataFrame) -> DataFrame:
     """Display projection: formatted time and a row colour by level."""
-    return hist.select(*[c for c in HISTORY_COLUMNS if c != "timestamp"],
+    timed = ["processing_time"] if "processing_time" in hist.columns else []
+    return hist.select(*[c for c in HISTORY_COLUMNS if c != "timestamp"], *timed,
                        F.date_format("timestamp", TS_FORMAT).alias("timestamp"),
                        pol.row_color("risk_level").alias("row_color"))
 

@@ -45,7 +45,7 @@ def query(name: str, sql: str | None = None, events: str = "events"):
 
 def load_all() -> dict[str, QuerySpec]:
     # importing the catalogue modules registers their queries
-    from txnrisk.plans import (catalog_eval, catalog_features, catalog_models,  # noqa: F401
+    from txnrisk.plans import (catalog_detect, catalog_eval, catalog_features, catalog_models,  # noqa: F401
                                catalog_serving, catalog_small, catalog_state,
                                catalog_stream)
     return REGISTRY
