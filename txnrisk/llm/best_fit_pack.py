@@ -35,8 +35,10 @@ characters (more only where it has no white space), its ids are held whole.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import struct
 import sys
 import types
 import zlib
@@ -78,6 +80,9 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(256 + others.index(b)) for b in range(256)}
 
 
+_LONGS = [struct.Struct(f"<{n}I").pack for n in range(33)]
+
+
 class Words:
     """Ids of texts as little-endian 32-bit bytes, word by word."""
 
@@ -87,6 +92,8 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # words are remembered here
         # letters before a blank or an ASCII mark, the rest up to the next such place, or blanks
         self.words = re.compile(f"[{WHITE}]*[{LETTER}]+(?![^{MARK}{WHITE}])|[{WHITE}]*[^{WHITE}]+?"
                                 f"(?:(?<=[{LETTER}])(?=[{MARK}])|(?=[{WHITE}])|\\Z)|[{WHITE}]+").findall
@@ -94,7 +101,7 @@ class Words:
         self.edge = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
         added = {t.content: np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added, self.at_added = added, re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self)
 
     def ids(self, text: str) -> bytes:
         if any(a in text for a in self.added):  # tokens of their own, in ordinary texts as well
@@ -110,25 +117,33 @@ class Words:
         return b"".join(out)
 
     def _block(self, text: str) -> bytes:
-        words, known = self.words(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > CACHE:
-            known.clear()
-        fresh = {}
-        for w in words:
-            if w not in known and w not in fresh:
-                (known if len(w) <= WORD else fresh)[w] = self._word(w)
-        return b"".join([known.get(w) or fresh[w] for w in words])
-
-    def _word(self, w: str) -> bytes:
+        if len(self.known) > CACHE:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, self.words(text)))
+
+    def word(self, w: str) -> bytes:
         if self.plain(w):  # the pre-tokenizer leaves it whole
-            ids = [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]
+            if w.isascii():
+                shown = self.letters[32] + w[1:] if w[0] == " " else w
+            else:
+                shown = w.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(shown)]
         else:
             ids = self.tokenizer.encode(w, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return _LONGS[len(ids)](*ids) if len(ids) < len(_LONGS) else struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Known(dict):
+    """Words and their ids; a word asked for the first time is tokenized."""
+
+    def __init__(self, words: Words):
+        self.tokenized = words.word
+
+    def __missing__(self, w: str) -> bytes:
+        ids = self.tokenized(w)
+        if len(w) <= WORD:
+            self[w] = ids
+        return ids
 
 
 def _words(tokenizer_file: str) -> Words:
@@ -150,6 +165,7 @@ def _tokenizer(tokenizer_file: str, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, counts = _words(tokenizer_file), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         last = np.array([end], "<u4").tobytes()
+        gc.disable()  # nothing here forms cycles, and the collector would walk all words again and again
         for b in batches:
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -160,6 +176,7 @@ def _tokenizer(tokenizer_file: str, size: int, end: int):
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, types)],
                                   names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "ord"])
+        gc.enable()
     return run
 
 
