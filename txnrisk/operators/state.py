@@ -22,6 +22,7 @@ from txnrisk.functions import features as fx
 from txnrisk.operators import keyed
 from txnrisk.operators.joins import is_small
 from txnrisk.operators.quantile import quantiles
+from txnrisk.operators.ranking import ranked
 from txnrisk.session import cut_lineage
 
 # --- fixed values ---------------------------------------------------------------
@@ -60,6 +61,27 @@ def kfold_assign(df: DataFrame, id_col: str) -> DataFrame:
     return df.withColumn("fold", expr.otherwise(len(FOLD_CUTS)))
 
 
+def split_exact(df: DataFrame, id_col: str, label: str = "is_fraud", test_share: float = 0.2) -> DataFrame:
+    """``is_test`` for exactly ``round(test_share * n)`` rows of each class, the first by an id hash."""
+    r = _by_hash(df, id_col, label, "split")
+    return r.withColumn("is_test", F.col("_place") < F.round(F.lit(test_share) * F.col("_total"))).drop("_hash", "_place", "_total")
+
+
+def kfold_exact(df: DataFrame, id_col: str, label: str = "is_fraud", n_folds: int = 5) -> DataFrame:
+    """``fold`` by turns in each class's hash order, a class going on at the fold where the one before
+    it ends: folds differ by one row at most, in each class and as a whole."""
+    r = _by_hash(df, id_col, label, "fold")
+    classes = r.groupBy(F.col(label).alias("_class")).agg(F.max("_total").alias("_n"))       # a row a class
+    start = classes.select("_class", (F.sum("_n").over(Window.orderBy("_class")) - F.col("_n")).alias("_start"))
+    r = r.join(F.broadcast(start), F.col(label).eqNullSafe(F.col("_class")))
+    return r.withColumn("fold", ((F.col("_place") + F.col("_start")) % n_folds).cast("int")).drop("_hash", "_place", "_total", "_class", "_start")
+
+
+def _by_hash(df: DataFrame, id_col: str, label: str, salt: str) -> DataFrame:
+    hashed = df.withColumn("_hash", F.md5(F.concat(F.lit(salt), F.col(id_col).cast("string"))))
+    return ranked(hashed, [label], ["_hash", id_col], "_place", "_total")
+
+
 def class_weights(df: DataFrame, label: str = "is_fraud") -> DataFrame:
     """Balanced weights n / (n_classes * n_class), one row per class: the
     per-class counts (one row per class) are gathered into one row, then
@@ -85,8 +107,8 @@ def fit_vocabulary(df: DataFrame, cols: Sequence[str] = CATEGORICAL) -> DataFram
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), _text(c).alias("value"))
                       for c in cols])
     distinct = df.select(F.inline(pairs)).distinct()
-    w = Window.partitionBy("column_name").orderBy("value")
-    return distinct.withColumn("code", F.dense_rank().over(w) - 1)
+    codes = ranked(distinct, ["column_name"], ["value"], "code")     # a column may have any number of values
+    return codes.select("column_name", "value", F.col("code").cast("int").alias("code"))
 
 
 def vocabulary_info(vocab: DataFrame) -> dict[str, tuple[int, int | None]]:

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnrisk.operators import evaluate as ev
-from txnrisk.operators import state
+from txnrisk.operators import report, state
 from txnrisk.operators.quantile import quantiles
 from txnrisk.plans.registry import query
 from txnrisk.session import cut_lineage
-from txnrisk.sources import fixtures
+from txnrisk.sources import files, fixtures
 
 MODELS = ["p_amount", "p_location", "p_night"]
 THRESHOLD = 0.6
@@ -289,13 +289,46 @@ def eval_rankings(spark: SparkSession, sf: str) -> DataFrame:
     return ev.rankings(comp, RANKED_METRICS)
 
 
-@query("eval_report")
+REPORT_COLS = COMPARISON_COLS + ["pr_auc", "cost_per_transaction", "fraud_prevention_savings"]
+
+
+def sql_number(c: str) -> str:
+    return f"coalesce(CAST(CAST(round(CAST({c} AS DOUBLE), 4) AS DECIMAL(24,4)) AS VARCHAR), 'n/a')"
+
+
+def sql_part(start: int, title: str, columns: list[tuple[str, str]]) -> str:
+    shown = [(c, text) for c, text in columns if c in REPORT_COLS]
+    return f"UNION ALL SELECT 1000 * (1 + model_idx) + {start}, '{title}' FROM rep\n" + "\n".join(
+        f"UNION ALL SELECT 1000 * (1 + model_idx) + {start + 1 + i}, '- {text}: ' || {sql_number(c)} FROM rep" for i, (c, text) in enumerate(shown))
+
+
+@query("eval_report", sql=SQL_COMPARISON + f"""
+, rep AS (SELECT cmp.*, round(ap.pr_auc, 6) AS pr_auc, cm.fn * 1000 AS fraud_prevention_savings,
+    round(CAST(cmp.total_cost AS DOUBLE) / (cm.tn + cm.fp + cm.fn + cm.tp), 6) AS cost_per_transaction
+  FROM cmp JOIN ap ON cmp.model = ap.model JOIN cm ON cmp.model = cm.model),
+best AS (SELECT arg_max(model, struct_pack(a := f1_score, b := -model_idx)) AS f, arg_max(model, struct_pack(a := roc_auc, b := -model_idx)) AS r,
+    arg_max(model, struct_pack(a := roi, b := -model_idx)) FILTER (WHERE roi IS NOT NULL) AS o FROM rep)
+SELECT CAST(line_no AS BIGINT) AS line_no, text FROM (
+SELECT unnest([0, 1, 2, 100, 101, 102, 103]) AS line_no, unnest(['{report.TITLE}', '', '## Summary', '', '## Side by side',
+  '| Model | {" | ".join(t for _, t in report.TABLE_COLUMNS)} |', '|{"---|" * (1 + len(report.TABLE_COLUMNS))}']) AS text
+UNION ALL SELECT 3, '- {report.CRITERIA[0][1]}: ' || coalesce(upper(f), 'none') || ' (' || {sql_number("f1_score")} || ')' FROM best LEFT JOIN rep ON model = f
+UNION ALL SELECT 4, '- {report.CRITERIA[1][1]}: ' || coalesce(upper(r), 'none') || ' (' || {sql_number("roc_auc")} || ')' FROM best LEFT JOIN rep ON model = r
+UNION ALL SELECT 5, '- {report.CRITERIA[2][1]}: ' || coalesce(upper(o), 'none') || ' (' || {sql_number("roi")} || ')' FROM best LEFT JOIN rep ON model = o
+UNION ALL SELECT 104 + model_idx, '| ' || model || ' | ' || {" || ' | ' || ".join(sql_number(c) for c, _ in report.TABLE_COLUMNS)} || ' |' FROM rep
+UNION ALL SELECT 1000 * (1 + model_idx), '' FROM rep
+UNION ALL SELECT 1000 * (1 + model_idx) + 1, '## ' || upper(model) FROM rep
+{sql_part(10, "### Metrics", report.METRICS)}
+{sql_part(30, "### What errors cost", report.COSTS)}
+UNION ALL SELECT 1000 * (1 + model_idx) + 50, '### Strongest features' FROM rep
+UNION ALL SELECT 1000 * (1 + model_idx) + 51, 'not available' FROM rep
+UNION ALL SELECT {report.LAST}, '' UNION ALL SELECT {report.LAST + 1}, '## Which to take'
+UNION ALL SELECT {report.LAST + 2}, CASE WHEN f = r AND o = f THEN upper(f) || ' is ahead on F1, ROC AUC and return: take it.'
+  ELSE 'No model is ahead on all three: choose by what matters most, or combine them.' END FROM best)""")
 def eval_report(spark: SparkSession, sf: str) -> DataFrame:
     """The evaluation report as numbered Markdown lines (and written as a text
     file into the shared folder)."""
-    from txnrisk.operators import report
-    from txnrisk.sources import files
-    comp = comparison(spark, sf)
+    a = all_models(spark, sf)
+    comp = cut_lineage(_r6(a.select(*REPORT_COLS, "model_idx"), ["model"]), "comparison")
     lines = report.markdown_lines(comp, ev.best_models(comp))
     files.write_text(lines.orderBy("line_no").select("text"),
                      files.scratch_path(spark, "evaluation-report"))

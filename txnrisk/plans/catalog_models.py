@@ -7,25 +7,19 @@ into the shared folder), then fits and applies its models.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrisk.functions import policies as pol
-from txnrisk.operators import evaluate as ev
 from txnrisk.operators import scoring, state
-from txnrisk.operators.models import forest
-from txnrisk.operators.models.autoencoder import AutoencoderDetector
+from txnrisk.operators.models import forest, train
 from txnrisk.operators.models.iforest import IsolationForest
-from txnrisk.operators.models.recon import ReconstructionDetector
+from txnrisk.operators.models.recon import NonlinearDetector, ReconstructionDetector
 from txnrisk.plans.registry import query
 from txnrisk.session import cut_lineage, ensure_parallelism
 from txnrisk.sources import fixtures
 from txnrisk.sources.tables import table_path
 
 ID = "transaction_id"
-ENSEMBLE_MEMBERS = ["if", "mlp"]        # shipped ensemble: isolation forest + autoencoder
 
 
 # fitted state is reused by every query of the same application and input
@@ -49,13 +43,20 @@ def _memo(spark: SparkSession, sf: str, what: str, make):
 
 def feature_table(spark: SparkSession, sf: str):
     def make():
-        t = state.split_stratified(fixtures.txn(spark, sf), ID)
+        t = state.split_exact(fixtures.txn(spark, sf), ID)
         pre = state.Preprocessor.fit(t.where(~F.col("is_test")))
         x = pre.transform(t, keep=(ID, "customer_id", "event_time", "merchant_category",
                                    "location", "is_test"))
         # model fits and Python scoring are CPU-bound: use every core
-        return cut_lineage(ensure_parallelism(x), "features"), pre.feature_columns
-    return _memo(spark, sf, "features", make)
+        return cut_lineage(ensure_parallelism(x), "features"), pre
+    x, pre = _memo(spark, sf, "features", make)
+    return x, pre.feature_columns
+
+
+def fitted_models(spark: SparkSession, sf: str) -> train.Trained:
+    feature_table(spark, sf)
+    _, pre = _memo(spark, sf, "features", None)
+    return train.Trained(pre, fitted_iforest(spark, sf), fitted_recon(spark, sf), fitted_forest(spark, sf))
 
 
 def _train(x: DataFrame) -> DataFrame:
@@ -72,10 +73,9 @@ def fitted_iforest(spark: SparkSession, sf: str):
     return _memo(spark, sf, "if", lambda: IsolationForest().fit(_train(x), cols, ID))
 
 
-def fitted_autoencoder(spark: SparkSession, sf: str):
+def fitted_nonlinear(spark: SparkSession, sf: str):
     x, cols = feature_table(spark, sf)
-    return _memo(spark, sf, "mlp",
-                 lambda: AutoencoderDetector().fit(_train(x), cols, ID, "label"))
+    return _memo(spark, sf, "nl", lambda: NonlinearDetector().fit(_train(x), cols, "label"))
 
 
 def fitted_recon(spark: SparkSession, sf: str):
@@ -116,52 +116,54 @@ def model_recon(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("model_autoencoder")
 def model_autoencoder(spark: SparkSession, sf: str) -> DataFrame:
+    """Reconstruction behind a hidden layer."""
     x, _ = feature_table(spark, sf)
-    s = fitted_autoencoder(spark, sf).transform(x)
-    return s.select(ID, F.col("mlp_error").alias("reconstruction_error"),
-                    F.col("mlp_pred").alias("is_anomaly"), F.col("mlp_proba").alias("probability"))
-
-
-def scored_by_models(spark: SparkSession, sf: str) -> DataFrame:
-    x, cols = feature_table(spark, sf)
-    s = fitted_recon(spark, sf).transform(fitted_iforest(spark, sf).transform(x))
-    s = fitted_autoencoder(spark, sf).transform(s)
-    s = forest.forest_scores(fitted_forest(spark, sf), s, cols)
-    return forest.ensemble(s, ENSEMBLE_MEMBERS, pol.ENSEMBLE_WEIGHTS)
+    s = fitted_nonlinear(spark, sf).transform(x)
+    return s.select(ID, F.col("nl_error").alias("reconstruction_error"),
+                    F.col("nl_pred").alias("is_anomaly"), F.col("nl_proba").alias("probability"))
 
 
 @query("model_ensemble")
 def model_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted ensemble (0.6 / 0.4) and the served result: plain mean over
     the base models, confidence from their agreement, level, decision, alert."""
-    s = scored_by_models(spark, sf)
-    served = scoring.combine(s, ["rf_proba", "if_proba", "mlp_proba"], policy="strict")
+    x, _ = feature_table(spark, sf)
+    served = scoring.combine(fitted_models(spark, sf).score_features(x), train.BASE, policy="strict")
     return served.select(ID, "ens_proba", "ens_pred", "fraud_probability", "confidence_score",
                          "risk_level", "is_fraud_pred", "alert_triggered")
 
 
+def cross_validated(spark: SparkSession, sf: str) -> DataFrame:
+    x, cols = feature_table(spark, sf)
+    return _memo(spark, sf, "cv", lambda: cut_lineage(train.cross_validate(_train(x), cols), "cv"))
+
+
 @query("eval_cv_refit")
 def eval_cv_refit(spark: SparkSession, sf: str) -> DataFrame:
-    """Cross-validation of the random forest: one forest per fold, fitted on
-    the other folds and judged on its own."""
-    x, cols = feature_table(spark, sf)
-    return forest.cross_validate(_train(x), cols, ID)
+    """Cross-validation of the base models: each fitted on the rows of the
+    other folds and judged on its own."""
+    return cross_validated(spark, sf)
+
+
+@query("eval_cv_folds", sql=""", ranked AS (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY md5('split' || transaction_id), transaction_id) - 1 AS place,
+    count(*) OVER (PARTITION BY is_fraud) AS total FROM txn),
+kept AS (SELECT is_fraud, count(*) AS n FROM ranked WHERE NOT place < round(CAST(0.2 AS DOUBLE) * total) GROUP BY is_fraud),
+sizes AS (SELECT is_fraud, n, j, n // 5 + CASE WHEN j < n % 5 THEN 1 ELSE 0 END AS part FROM kept, range(5) t(j)),
+models AS (SELECT unnest(['rf', 'if', 'ae']) AS model)
+SELECT model, 5 AS folds, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) FILTER (is_fraud = 1) AS BIGINT) AS n_fraud,
+  CAST(max(part) FILTER (is_fraud = 1) AS BIGINT) AS most_fraud, CAST(min(part) FILTER (is_fraud = 1) AS BIGINT) AS least_fraud, true AS judged
+FROM models, (SELECT is_fraud, j, part, CASE WHEN j = 0 THEN n END AS n FROM sizes) GROUP BY model""")
+def eval_cv_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and frauds of the folds, and whether every fold has an area under its curve."""
+    cv = cross_validated(spark, sf)
+    return cv.groupBy("model").agg(
+        F.count(F.lit(1)).cast("int").alias("folds"), F.sum("n").alias("n"), F.sum("n_fraud").alias("n_fraud"), F.max("n_fraud").alias("most_fraud"),
+        F.min("n_fraud").alias("least_fraud"), F.every(F.col("roc_auc").between(0.0, 1.0)).alias("judged"))
 
 
 @query("eval_fitted_models")
 def eval_fitted_models(spark: SparkSession, sf: str) -> DataFrame:
     """Every fitted model on the held-out rows, one pass for all models."""
-    s = scored_by_models(spark, sf).where(F.col("is_test"))
-    members = ["rf", "if", "mlp", "ae", "ens"]
-    long = reduce(DataFrame.unionByName, [
-        s.select(F.lit(m).alias("model"), F.lit(i).alias("model_idx"),
-                 F.col("label").cast("int").alias("label"),
-                 F.col(f"{m}_proba").cast("double").alias("score"),
-                 F.col(f"{m}_pred").cast("int").alias("pred"))
-        for i, m in enumerate(members)])
-    long = cut_lineage(long)
-    conf = ev.business_metrics(ev.basic_metrics(ev.confusion(long)))
-    curve = ev.ranked_curve(long)
-    out = conf.join(ev.roc_auc(curve), "model").join(ev.average_precision(curve), "model")
-    return out.select("model", "tn", "fp", "fn", "tp", "accuracy", "precision", "recall",
-                      "f1_score", "roc_auc", "pr_auc", "total_cost", "roi")
+    x, _ = feature_table(spark, sf)
+    s = fitted_models(spark, sf).score_features(x.where(F.col("is_test")))
+    return train.evaluate_members(s).drop("model_idx")

@@ -14,6 +14,7 @@ from txnrisk.plans.catalog_features import (FEATURES_24, SQL_AMOUNT_CATEGORY, SQ
 from txnrisk.plans.catalog_features import sql_money_avg
 from txnrisk.plans.registry import query
 from txnrisk.sources import fixtures
+from txnrisk.sources.tables import read_table
 
 ID = "transaction_id"
 SCALED = ["amount", "age", "income", "account_balance"]
@@ -158,6 +159,34 @@ def kfold_assign(spark: SparkSession, sf: str) -> DataFrame:
     return state.kfold_assign(fixtures.base_txn(spark, sf), ID).select(ID, "fold")
 
 
+SQL_HASHED = """
+, hashed AS (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY md5('{salt}' || transaction_id), transaction_id) - 1 AS place,
+    count(*) OVER (PARTITION BY is_fraud) AS total FROM txn)
+"""
+
+
+@query("split_exact", sql=SQL_HASHED.format(salt="split") + """
+SELECT transaction_id, is_fraud, place < round(CAST(0.2 AS DOUBLE) * total) AS is_test FROM hashed""")
+def split_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return state.split_exact(fixtures.txn(spark, sf), ID).select(ID, "is_fraud", "is_test")
+
+
+@query("kfold_exact", sql=SQL_HASHED.format(salt="fold") + """
+, starts AS (SELECT is_fraud, sum(n) OVER (ORDER BY is_fraud) - n AS start FROM (SELECT is_fraud, count(*) AS n FROM txn GROUP BY 1))
+SELECT transaction_id, CAST((place + start) % 5 AS INTEGER) AS fold FROM hashed JOIN starts USING (is_fraud)""")
+def kfold_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return state.kfold_exact(fixtures.txn(spark, sf), ID).select(ID, "fold")
+
+
+@query("codes_of_words", sql="""
+, words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)
+SELECT word AS value, CAST(row_number() OVER (ORDER BY word) - 1 AS INTEGER) AS code FROM words""")
+def codes_of_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Vocabulary codes of a column with very many values: the words of all documents."""
+    words = read_table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    return state.fit_vocabulary(words, ["word"]).select("value", "code")
+
+
 @query("class_weights", sql="""
 SELECT is_fraud, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight
 FROM txn GROUP BY is_fraud""")

@@ -31,7 +31,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -189,6 +189,12 @@ class Detector:
         fs, p = self._fs(path)
         return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
+    def _submitted(self) -> int:
+        """Files of the inbox that hold anything."""
+        fs, p = self._fs(self.inbox)
+        found = fs.listStatus(p) if fs.exists(p) else []
+        return sum(s.getLen() > 0 and not s.getPath().getName().startswith(("_", ".")) for s in found)
+
     def _write(self, df: DataFrame, table: str, batch: int) -> DataFrame:
         df.write.mode("overwrite").parquet(self._path(table, batch))
         return self.spark.read.parquet(self._path(table, batch))
@@ -215,12 +221,12 @@ class Detector:
         began, st = time.monotonic(), self.state(batch_id)
         micros = self._micros(self.delay)
         watermark = None if st["top"] is None else st["top"] - micros
-        seen = Observation(f"staged-{batch_id}")
         staged = self._write(batch.withColumns({
             "reason": reason(), "row": F.monotonically_increasing_id(),
-            "event_ts": F.coalesce(sp.ntz_to_instant("timestamp"), F.col("arrival"))}).observe(
-            seen, F.count(F.lit(1)).alias("rows"), F.max(F.when(reason().isNull() & F.col("timestamp").isNotNull(), F.unix_micros("event_ts"))).alias("top")),
-            "staged", batch_id)
+            "event_ts": F.coalesce(sp.ntz_to_instant("timestamp"), F.col("arrival"))}), "staged", batch_id)
+        timed = F.col("reason").isNull() & F.col("timestamp").isNotNull()
+        seen = staged.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("file").alias("files"),
+                          F.max(F.when(timed, F.unix_micros("event_ts"))).alias("top")).first()
         live = [(b, top) for b, top in st["ids"] if watermark is None or top >= watermark]
         known = self._live("ids", IDS, [b for b, _ in live])
         known = known if watermark is None else known.where(F.unix_micros("event_ts") >= watermark)
@@ -229,33 +235,30 @@ class Detector:
         taken = routed.where(F.col("route") == "scored")
         ids, profiles = taken.select(ID, "event_ts"), moments(taken)
         merge = len(live) >= COMPACT
-        newest = Observation(f"ids-{batch_id}")
-        self._write((ids.unionByName(known) if merge else ids).observe(newest, F.max(F.unix_micros("event_ts")).alias("top")), "ids", batch_id)
+        newest_id = self._write(ids.unionByName(known) if merge else ids, "ids", batch_id).agg(F.max(F.unix_micros("event_ts"))).first()[0]
         past = self._live("profiles", PROFILES, st["profiles"])
         merge_profiles = len(st["profiles"]) >= COMPACT
         self._write(merged(profiles.unionByName(past)) if merge_profiles else profiles, "profiles", batch_id)
 
-        counts = Observation(f"scored-{batch_id}")
         tx = taken.withColumns({"event_time": sp.instant_to_ntz("event_ts"), "has_time": F.col("timestamp").isNotNull()}).drop(
             "line", "file", "arrival", "reason", "row", "route", "timestamp")
         tx = with_profile(sized_join(tx, self.profile, KEY, "left", materialize=False), past)
-        scored = self._write(self.score(tx).observe(
-            counts, F.count_if("is_fraud_pred").alias("fraud"), F.count_if("alert_triggered").alias("alerts")), "scored", batch_id)
+        scored = self._write(self.score(tx), "scored", batch_id)
+        counts = scored.agg(F.count_if("is_fraud_pred").alias("fraud"), F.count_if("alert_triggered").alias("alerts")).first()
         self._write(scoring.alert_records(scored), "alerts", batch_id)
 
         by_route = {r["route"]: r["count"] for r in routed.groupBy("route").count().collect()}  # four rows at most
-        files = st["files"] + staged.select("file").distinct().count()
-        top = max((t for t in (st["top"], seen.get["top"]) if t is not None), default=None)
-        newest_id = newest.get["top"]
+        files = st["files"] + seen["files"]
+        top = max((t for t in (st["top"], seen["top"]) if t is not None), default=None)
         now = {"batch": batch_id, "top": top,
                "ids": ([] if merge else live) + ([[batch_id, newest_id]] if newest_id is not None else []),
                "profiles": ([] if merge_profiles else st["profiles"]) + [batch_id],
-               "rows": st["rows"] + seen.get["rows"], "scored": st["scored"] + by_route.get("scored", 0),
-               "fraud": st["fraud"] + counts.get["fraud"], "alerts": st["alerts"] + counts.get["alerts"],
+               "rows": st["rows"] + seen["rows"], "scored": st["scored"] + by_route.get("scored", 0),
+               "fraud": st["fraud"] + counts["fraud"], "alerts": st["alerts"] + counts["alerts"],
                "files": files, "millis": st["millis"] + int(1000 * (time.monotonic() - began))}
-        waiting = max(0, len([n for n in self._names(self.inbox) if not n.startswith(("_", "."))]) - files)
+        waiting = max(0, self._submitted() - files)
         self._write(self.spark.createDataFrame(
-            [(seen.get["rows"], *[by_route.get(r, 0) for r in ROUTES], counts.get["fraud"], counts.get["alerts"],
+            [(seen["rows"], *[by_route.get(r, 0) for r in ROUTES], counts["fraud"], counts["alerts"],
               now["millis"] - st["millis"], waiting, watermark)],
             "n_rows long, " + ", ".join(f"n_{r} long" for r in ROUTES) + ", fraud long, alerts long, millis long, files_waiting long, watermark long"),
             "progress", batch_id)
@@ -282,7 +285,7 @@ class Detector:
     def statistics(self) -> dict:
         """Running totals, the mean processing time of a transaction, and what waits."""
         st = self.state()
-        waiting = len([n for n in self._names(self.inbox) if not n.startswith(("_", "."))]) - st["files"]
+        waiting = self._submitted() - st["files"]
         return {"total_transactions": st["rows"], "fraud_detected": st["fraud"], "alerts_triggered": st["alerts"],
                 "avg_processing_time": st["millis"] / 1000 / st["rows"] if st["rows"] else 0.0,
                 "files_waiting": max(0, waiting), "is_running": self.running}
