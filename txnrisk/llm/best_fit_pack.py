@@ -35,7 +35,6 @@ characters (more only where it has no white space), its ids are held whole.
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import struct
@@ -80,9 +79,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(256 + others.index(b)) for b in range(256)}
 
 
-_LONGS = [struct.Struct(f"<{n}I").pack for n in range(33)]
-
-
 class Words:
     """Ids of texts as little-endian 32-bit bytes, word by word."""
 
@@ -130,7 +126,7 @@ class Words:
             ids = [t.id for t in self.model.tokenize(shown)]
         else:
             ids = self.tokenizer.encode(w, add_special_tokens=False).ids
-        return _LONGS[len(ids)](*ids) if len(ids) < len(_LONGS) else struct.pack(f"<{len(ids)}I", *ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class _Known(dict):
@@ -165,7 +161,6 @@ def _tokenizer(tokenizer_file: str, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, counts = _words(tokenizer_file), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         last = np.array([end], "<u4").tobytes()
-        gc.disable()  # nothing here forms cycles, and the collector would walk all words again and again
         for b in batches:
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -176,7 +171,6 @@ def _tokenizer(tokenizer_file: str, size: int, end: int):
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, types)],
                                   names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "ord"])
-        gc.enable()
     return run
 
 
