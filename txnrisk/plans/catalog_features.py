@@ -154,6 +154,32 @@ def validate_txn(spark: SparkSession, sf: str) -> DataFrame:
                     F.array_join(arr, ",").alias("reasons"))
 
 
+CATEGORY_DOMAINS = {  # fixed values: entry-form choices
+    "merchant_category": ["grocery", "restaurant", "gas", "retail", "online", "entertainment", "healthcare", "education", "utilities",
+                          "electronics", "luxury", "gambling", "cryptocurrency", "unknown"],
+    "location": ["local", "regional", "national", "international"],
+    "transaction_type": ["purchase", "withdrawal", "transfer", "payment"],
+    "device_type": ["mobile", "web", "pos", "atm"]}
+
+
+@query("validate_categories", sql="""
+, e AS (SELECT transaction_id, CASE WHEN transaction_id % 31 = 4 THEN 'bookshop' ELSE merchant_category END AS m,
+    CASE WHEN transaction_id % 37 <> 5 THEN location END AS l, CASE WHEN transaction_id % 41 = 6 THEN upper(transaction_type) ELSE transaction_type END AS t,
+    CASE WHEN transaction_id % 43 = 7 THEN '' ELSE device_type END AS d FROM located)
+SELECT transaction_id, concat_ws(',', CASE WHEN m = 'bookshop' THEN 'merchant_category' END, CASE WHEN l IS NULL THEN 'location' END,
+  CASE WHEN t <> lower(t) THEN 'transaction_type' END, CASE WHEN d = '' THEN 'device_type' END) AS reasons FROM e""")
+def validate_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries outside the form's choices: some unknown, missing, in other case or empty."""
+    i = F.col(ID)
+    t = base_txn(spark, sf).withColumns({
+        "merchant_category": F.when(i % 31 == 4, "bookshop").otherwise(F.col("merchant_category")),
+        "location": F.when(i % 37 != 5, F.col("location")),
+        "transaction_type": F.when(i % 41 == 6, F.upper("transaction_type")).otherwise(F.col("transaction_type")),
+        "device_type": F.when(i % 43 == 7, "").otherwise(F.col("device_type"))})
+    reasons = F.array(*[F.when(F.col(c).isNull() | ~F.col(c).isin(*d), F.lit(c)) for c, d in CATEGORY_DOMAINS.items()])
+    return t.select(ID, F.array_join(F.filter(reasons, lambda x: x.isNotNull()), ",").alias("reasons"))
+
+
 # --- clamp / aggregates -------------------------------------------------------
 
 @query("clamp_profile", sql="""

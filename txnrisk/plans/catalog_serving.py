@@ -12,6 +12,7 @@ from txnrisk.operators import dashboard, scoring
 from txnrisk.operators.joins import sized_join
 from txnrisk.plans.catalog_features import SQL_AMOUNT_CATEGORY, SQL_FLAGS, SQL_TIME, sql_money_avg
 from txnrisk.plans.registry import query
+from txnrisk.session import cut_lineage
 from txnrisk.sources import fixtures
 from txnrisk.sources.tables import read_table
 
@@ -366,3 +367,69 @@ def fraud_by_window(spark: SparkSession, sf: str) -> DataFrame:
     t = fixtures.txn(spark, sf)
     return (t.groupBy(F.window("event_time", "1 day").start.alias("window_start"))
             .agg(F.count(F.lit(1)).alias("n"), F.sum("is_fraud").cast("bigint").alias("n_fraud")))
+
+
+@query("dash_risk_ranked", sql=SQL_HISTORY + """
+SELECT risk_level, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, risk_level) AS INTEGER) AS place FROM h GROUP BY risk_level""")
+def dash_risk_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return dashboard.risk_ranked(_history(spark, sf))
+
+
+@query("dash_series_points", sql=SQL_HISTORY + """
+, b AS (SELECT *, time_bucket(INTERVAL 6 HOUR, timestamp, TIMESTAMP '1970-01-01') AS bucket FROM h WHERE timestamp IS NOT NULL AND fraud_probability IS NOT NULL),
+r AS (SELECT *, row_number() OVER (w ORDER BY timestamp, transaction_id) AS first, row_number() OVER (w ORDER BY timestamp DESC, transaction_id) AS last,
+    row_number() OVER (w ORDER BY fraud_probability, timestamp, transaction_id) AS least,
+    row_number() OVER (w ORDER BY fraud_probability DESC, timestamp, transaction_id) AS most
+  FROM b WINDOW w AS (PARTITION BY bucket, is_fraud))
+SELECT bucket, is_fraud, transaction_id, timestamp, fraud_probability,
+  concat_ws(',', CASE WHEN first = 1 THEN 'first' END, CASE WHEN last = 1 THEN 'last' END, CASE WHEN least = 1 THEN 'least' END,
+    CASE WHEN most = 1 THEN 'most' END) AS kinds
+FROM r WHERE first = 1 OR last = 1 OR least = 1 OR most = 1""")
+def dash_series_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Fraud probability over time, row by row, in as few points as draw the same line."""
+    p = dashboard.series_points(_history(spark, sf), "6 hours")
+    return p.withColumn("kinds", F.array_join("kinds", ","))
+
+
+PAGE_ROWS = 40
+
+
+@query("history_pages", sql=SQL_HISTORY + f"""
+SELECT transaction_id, CAST((n - 1) // {PAGE_ROWS} AS INTEGER) AS page FROM (
+  SELECT transaction_id, row_number() OVER (ORDER BY fraud_probability DESC NULLS LAST, transaction_id) AS n FROM h) WHERE n <= 3 * {PAGE_ROWS}""")
+def history_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Three pages of the history by falling probability, each found from the last row of the one before."""
+    hist = cut_lineage(_history(spark, sf), "history")
+    out, after = None, None
+    for i in range(3):
+        rows = cut_lineage(dashboard.page(hist, "fraud_probability", PAGE_ROWS, after, descending=True), "page")
+        last = rows.orderBy(F.col("fraud_probability").asc_nulls_first(), F.desc(ID)).first()      # of a page
+        part = rows.select(ID, F.lit(i).alias("page"))
+        out = part if out is None else out.unionByName(part)
+        if last is None:
+            break
+        after = (last["fraud_probability"], last[ID])
+    return out
+
+
+@query("score_confidence_small", sql="""
+SELECT transaction_id, CAST(1 AS DOUBLE) AS one_strict, CAST(0.5 AS DOUBLE) AS one_dashboard, CAST(0 AS DOUBLE) AS none_strict,
+  CAST(0.5 AS DOUBLE) AS none_dashboard, CAST(0 AS DOUBLE) AS none_mean FROM scored WHERE p_amount IS NOT NULL""")
+def score_confidence_small(spark: SparkSession, sf: str) -> DataFrame:
+    """Agreement where a single model, or none, has scored."""
+    s = fixtures.scored(spark, sf).where(F.col("p_amount").isNotNull())
+    return s.select(ID, pol.confidence(MODELS[:1]).alias("one_strict"), pol.confidence(MODELS[:1], "dashboard").alias("one_dashboard"),
+                    pol.confidence([]).alias("none_strict"), pol.confidence([], "dashboard").alias("none_dashboard"), pol.mean_of([]).alias("none_mean"))
+
+
+@query("alert_details", sql=sql_scored("p_amount") + """
+SELECT transaction_id, round(amount, 4) AS transaction_amount, merchant_category, location, round(confidence_score, 6) AS confidence_score,
+  p_amount, p_location, p_night FROM es WHERE alert_triggered""")
+def alert_details(spark: SparkSession, sf: str) -> DataFrame:
+    """The alert's details, read back from their JSON text."""
+    s = ens_scored(spark, sf, prob="p_amount").withColumn("model_predictions", pol.predictions_map(MODELS))
+    schema = ("model_predictions map<string,double>, confidence_score double, transaction_amount double, "
+              "merchant_category string, location string")
+    d = scoring.alert_records(s).select(ID, F.from_json("details_json", schema).alias("d"))
+    return d.select(ID, F.round("d.transaction_amount", 4).alias("transaction_amount"), "d.merchant_category", "d.location",
+                    F.round("d.confidence_score", 6).alias("confidence_score"), *[F.col("d.model_predictions")[m].alias(m) for m in MODELS])

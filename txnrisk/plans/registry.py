@@ -47,5 +47,5 @@ def load_all() -> dict[str, QuerySpec]:
     # importing the catalogue modules registers their queries
     from txnrisk.plans import (catalog_detect, catalog_eval, catalog_features, catalog_models,  # noqa: F401
                                catalog_serving, catalog_small, catalog_state,
-                               catalog_stream)
+                               catalog_store, catalog_stream)
     return REGISTRY
