@@ -104,3 +104,13 @@ def test_no_head_fills_a_group(spark, monkeypatch):
         monkeypatch.setattr(sd, name, watched(getattr(sd, name)))
     check(spark, docs)
     assert len(held) >= 2 and max(held) <= 100
+
+
+def test_strings_cut_together_hash_alike():
+    rng = np.random.default_rng(1)
+    buf = rng.integers(0, 4, 5000).astype(np.uint8)
+    for share in (0.001, 0.02, 0.5):
+        start = np.flatnonzero(rng.random(len(buf) - 49) < share)
+        near, place = sd._around(buf, start, 50)
+        assert (sd.head_hashes(near, 50, 1)[place] == sd.head_hashes(buf, 50, 1)[start]).all()
+    assert len(sd._around(buf, np.array([7, 8, 9, 4000]), 50)[0]) == 52 + 50

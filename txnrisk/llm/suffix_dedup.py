@@ -243,6 +243,19 @@ def entries(docs: DataFrame, shards: int, length: int = LENGTH, hot: np.ndarray
     return small_batches(docs).mapInArrow(run, "shard long, head binary, doc binary, k binary, pos binary")
 
 
+def _around(buf: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the strings that start at the ascending ``start``, neighbours
+    in one piece, and the places of the starts in them; ``buf`` itself where that is shorter."""
+    first = np.flatnonzero(np.append(True, np.diff(start) > 1))
+    n = np.diff(np.append(first, len(start)))
+    size = n + length - 1
+    if size.sum() >= len(buf):
+        return buf, start
+    begin = np.cumsum(size) - size
+    return (buf[np.repeat(start[first] - begin, size) + np.arange(size.sum())],
+            start + np.repeat(begin - start[first], n))
+
+
 def _hot_strings(b: pa.RecordBatch, length: int, mask: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Row, start in the row and two hashes of each string of ``length`` bytes
     that holds an anchor of a hot slot, a piece at a time."""
@@ -256,7 +269,8 @@ def _hot_strings(b: pa.RecordBatch, length: int, mask: np.ndarray) -> Iterator[t
         start = np.flatnonzero(np.cumsum(step))
         if len(start):
             row = np.searchsorted(own, start, side="right") - 1
-            yield row + a, start - begin[row], *(head_hashes(buf, length, s)[start].view(np.int64) for s in (0, 1))
+            near, place = _around(buf, start, length)
+            yield row + a, start - begin[row], *(head_hashes(near, length, s)[place].view(np.int64) for s in (0, 1))
 
 
 def _firsts(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -467,7 +481,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, doc: str = "doc_id", text: str
     first = names.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     copies = written(names.join(sized(first.select("text_hash", "first")), "text_hash").filter(
         "doc_id > first").select("doc_id", "k", F.lit(True).alias("copy")).distinct(), "suffix-copies")
-    own = rows.join(broadcast_table(copies), ["doc_id", "k"], "left_anti").select("doc_id", "k", "t")
+    own = rows.join(broadcast_table(copies, SPANS_MAX_FILE_BYTES), ["doc_id", "k"], "left_anti").select("doc_id", "k", "t")
     total = names.agg(F.sum("n")).first()[0] or 0
     shards = max(32, -(-2 * total // (length - ANCHOR + 2) // SHARD_ENTRIES))
     hot = hot_slots(own, length)
@@ -479,7 +493,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, doc: str = "doc_id", text: str
     if len(hot):
         same = same.unionByName(hot_matches(own, hot, length))
     found = written(runs(same, length), "suffix-found")
-    out = rows.join(broadcast_table(copies), ["doc_id", "k"], "left").join(
+    out = rows.join(broadcast_table(copies, SPANS_MAX_FILE_BYTES), ["doc_id", "k"], "left").join(
         broadcast_table(found, SPANS_MAX_FILE_BYTES), ["doc_id", "k"], "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("t").cast("long").alias("end")))
     spans = F.when(F.col("copy") & (F.octet_length("t") >= length), whole).otherwise(
