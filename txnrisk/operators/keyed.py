@@ -67,8 +67,10 @@ def asof_stats(df: DataFrame, key: str, ts: str, tiebreak: str, value: str,
     b = "_bkt"
     x = F.col(value).cast("double")
     xd = F.col(value).cast(MONEY)
-    rows = df.withColumn(b, _bucket(ts, unit))
-    local_w = (Window.partitionBy(key, b).orderBy(ts, tiebreak)
+    # rows without a key have no history: they are spread, not windowed in one group
+    apart = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(tiebreak), F.lit(1 << 16))).otherwise(F.lit(-1))
+    rows = df.withColumns({b: _bucket(ts, unit), "_apart": apart})
+    local_w = (Window.partitionBy(key, b, "_apart").orderBy(ts, tiebreak)
                .rowsBetween(Window.unboundedPreceding, -1))
     # one select: the three frames share a spec and run in one Window operator
     rows = rows.select(
@@ -101,7 +103,7 @@ def asof_stats(df: DataFrame, key: str, ts: str, tiebreak: str, value: str,
             .withColumn(mean, F.when(has_key & (cnt > 0), F.round(
                 s / cnt.cast("decimal(14,0)"), 8).cast("double")))
             .withColumn(std, F.when(has_key & (cnt > 1), F.sqrt(var)))
-            .drop(b, "_ln", "_ls", "_lq", "_on", "_os", "_oq"))
+            .drop(b, "_apart", "_ln", "_ls", "_lq", "_on", "_os", "_oq"))
 
 
 _UNIT_INTERVAL = {"minute": "INTERVAL 1 MINUTE", "hour": "INTERVAL 1 HOUR",

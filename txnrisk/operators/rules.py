@@ -57,19 +57,18 @@ def unusual_time(df: DataFrame) -> DataFrame:
 
 def new_merchant(df: DataFrame) -> DataFrame:
     """Risky merchant, or the customer's first use of a category after some
-    earlier activity.  "First" is in ``(event_time, transaction_id)`` order."""
-    first_use = (df.where(F.col(KEY).isNotNull())
-                 .groupBy(KEY, "merchant_category")
-                 .agg(F.min(F.struct(TS, ID))[ID].alias(ID)))
-    first_txn = (df.where(F.col(KEY).isNotNull())
-                 .groupBy(KEY).agg(F.min(F.struct(TS, ID))[ID].alias(ID)))
-    # ids are unique: joins below are on a unique key, so never skewed
-    novel = first_use.select(ID).join(first_txn.select(ID), ID, "left_anti") \
-                     .withColumn("_novel", F.lit(1))
-    out = sized_join(df, novel, ID, "left")
-    return out.withColumn("new_merchant", F.greatest(
-        fx.is_high_risk_merchant("merchant_category"),
-        F.coalesce(F.col("_novel"), F.lit(0)))).drop("_novel")
+    earlier activity.  "First" is in ``(event_time, transaction_id)`` order.  One
+    aggregate by customer and category, folded to a row a customer with the ids
+    of its first uses; the side grows with the customers, and no row but those
+    of a customer beyond the broadcast bound is shuffled."""
+    used = (df.where(F.col(KEY).isNotNull()).groupBy(KEY, "merchant_category")
+            .agg(F.min(F.struct(TS, ID)).alias("_first")))
+    # categories, not rows, per customer; the earliest of them is the customer's first transaction
+    novel = used.groupBy(KEY).agg(F.array_sort(F.collect_list("_first")).alias("_f")).select(
+        KEY, F.transform(F.slice("_f", F.lit(2), F.greatest(F.size("_f") - 1, F.lit(0))), lambda x: x[ID]).alias("_novel"))
+    out = sized_join(df, novel, KEY, "left")
+    first = F.coalesce(F.array_contains("_novel", F.col(ID)).cast("int"), F.lit(0))
+    return out.withColumn("new_merchant", F.greatest(fx.is_high_risk_merchant("merchant_category"), first)).drop("_novel")
 
 
 def account_takeover(df: DataFrame) -> DataFrame:

@@ -136,3 +136,14 @@ def stream_history(spark: SparkSession, sf: str) -> DataFrame:
     view = dashboard.history_view(d.history().join(timed, ID, "left_semi"))
     return view.select(*[c for c in view.columns if c not in ("row_color", "processing_time", "amount")],
                        F.round("amount", 4).alias("amount"), (F.col("processing_time") > 0).alias("timed"))
+
+
+@query("stream_metrics", sql=SQL_JUDGED + """
+SELECT count(*) AS total, count(*) FILTER (p >= 0.6) AS fraud_count, round(count(*) FILTER (p >= 0.6) * 100.0 / count(*), 6) AS fraud_rate_pct,
+  count(*) FILTER (p >= 0.8) AS high_risk, round(avg(p), 6) AS avg_p, true AS timed FROM judgement""")
+def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The dashboard's metrics over the stream's history, the mean processing time among them (that it is there)."""
+    d = drained(spark, sf)
+    timed = d.table("scored").where("has_time").select(ID)
+    m = dashboard.metrics(d.history().join(timed, ID, "left_semi"))
+    return m.select(*[c for c in m.columns if c != "avg_processing_time"], (F.col("avg_processing_time") > 0).alias("timed"))
