@@ -221,3 +221,31 @@ def pipeline_fit_transform(spark: SparkSession, sf: str) -> DataFrame:
     x = state.assemble(pre.transform(t), pre.feature_columns)
     return x.select(ID, "label", F.size(vector_to_array("features")).alias("n_features"),
                     *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in CHECKED_FEATURES])
+
+
+SQL_ALL_FEATURES = f"""
+, tr AS (SELECT * FROM txn WHERE substr(md5(CAST(transaction_id AS VARCHAR)), 1, 4) >= '3333'),
+cs AS (SELECT customer_id, count(amount) AS customer_transaction_count, {sql_money_avg("amount")} AS customer_avg_amount,
+    stddev_samp(amount) AS customer_amount_std FROM tr WHERE customer_id IS NOT NULL GROUP BY customer_id),
+fs AS (SELECT t.*, customer_transaction_count, customer_avg_amount, customer_amount_std,
+    (amount - customer_avg_amount) / (customer_amount_std + 1) AS amount_deviation,
+    CASE WHEN amount > customer_avg_amount THEN 1 ELSE 0 END AS is_amount_above_avg,
+    substr(md5(CAST(transaction_id AS VARCHAR)), 1, 4) >= '3333' AS train
+  FROM txn t LEFT JOIN cs ON t.customer_id = cs.customer_id)""" + sql_vocab("tr", state.CATEGORICAL) + f"""
+, every AS (SELECT t.*, {SQL_TIME}, {SQL_FLAGS}, ln(1 + amount) AS log_amount, amount / NULLIF(income / 12, 0) AS amount_to_income_ratio,
+    amount / NULLIF(account_balance, 0) AS amount_to_balance_ratio, amount / NULLIF(account_balance + amount, 0) AS balance_impact,
+    {', '.join(sql_encoded(c) for c in state.CATEGORICAL)} FROM fs t),
+raw AS (SELECT transaction_id, is_fraud, train, {', '.join(f"CAST({c} AS DOUBLE) AS {c}" for c in state.FEATURE_ORDER)} FROM every),
+md AS (SELECT {', '.join(f"quantile_cont({c}, 0.5) AS {c}" for c in state.FEATURE_ORDER)} FROM raw WHERE train),
+im AS (SELECT transaction_id, is_fraud, train, {', '.join(f"coalesce(raw.{c}, md.{c}, 0) AS {c}" for c in state.FEATURE_ORDER)} FROM raw, md),
+sc AS (SELECT {', '.join(f"avg({c}) AS {c}_m, coalesce(nullif(stddev_pop({c}), 0), 1) AS {c}_s" for c in state.FEATURE_ORDER)} FROM im WHERE train)
+"""
+
+
+@query("pipeline_all_features", sql=SQL_ALL_FEATURES + "SELECT transaction_id, is_fraud AS label, " + ", ".join(
+    f"round(({c} - {c}_m) / {c}_s + 1e-8, 5) AS {c}" for c in state.FEATURE_ORDER) + " FROM im, sc")
+def pipeline_all_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Every feature of the fitted preprocessor, for every row."""
+    t = state.split_stratified(fixtures.txn(spark, sf), ID)
+    x = state.Preprocessor.fit(t.where(~F.col("is_test"))).transform(t)
+    return x.select(ID, "label", *[F.round(F.col(c) + 1e-8, 5).alias(c) for c in state.FEATURE_ORDER])
