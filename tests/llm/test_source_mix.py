@@ -1,3 +1,4 @@
+import math
 from collections import defaultdict
 
 import pytest
@@ -66,3 +67,51 @@ def test_rank_over_many_sources(spark):
     df = spark.range(500).select(F.col("id").cast("string").alias("source")).union(spark.sql("SELECT CAST(NULL AS STRING)"))
     got = [r.source for r in source_mix.source_ranks(df, "source").orderBy("rank").collect()]
     assert got == sorted(map(str, range(500))) + [None]
+
+
+def dual(sizes, target, cap=2.0):
+    """The tilt of one source, by halving: sum size * min(cap, exp(tilt * size / mean)) = target."""
+    mean, lo, hi = sum(sizes) / len(sizes), -1e4, 1e4
+    got = lambda x: sum(n * min(cap, math.exp(min(50, x * n / mean))) for n in sizes)
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if got(mid) < target else (lo, mid)
+    return (lo + hi) / 2 / mean
+
+
+def test_rates_per_document_solve_the_dual(spark, monkeypatch):
+    steps, cut = [], source_mix.cut_lineage
+    monkeypatch.setattr(source_mix, "cut_lineage", lambda df, name: (steps.append(name), cut(df, name))[1])
+    docs = documents(spark)
+    out = source_mix.mix(docs, per="document").collect()
+    assert steps.count("mix-dual") > 2                    # the start and more than one step
+    by = defaultdict(list)
+    for r in out:
+        by[r.source].append(r)
+    taken = 0.0
+    for group in by.values():
+        sizes, target = [r["size"] for r in group if r["size"]], group[0].target
+        tilt = dual(sizes, target)
+        full = target >= 2 * sum(sizes) * (1 - 1e-9)
+        for r in group:
+            want = 1.0 if not r["size"] else 2.0 if full else min(2.0, math.exp(tilt * r["size"]))
+            assert r.rate == pytest.approx(want, rel=1e-5)
+            assert r.taken <= 2 * r["size"]
+        assert full or len({round(r.rate, 6) for r in group}) > 3
+        taken += abs(sum(r.taken for r in group) - target)
+    assert taken / sum(g[0].target for g in by.values()) < 0.03
+    assert sorted(map(str, out)) == sorted(map(str, source_mix.mix(docs.repartition(5), per="document").collect()))
+
+
+def test_odd_rows_per_document(spark):
+    run = lambda d: source_mix.mix(d, per="document")
+    out = same_on_clash(run, frame(spark, ODD + [(20, "w " * 300_000)]))
+    assert len(out) == len(ODD) + 1 and all(r[2] == 0 and r[7] == 0 for r in out if r[0] in (1, 2, 3))
+    assert run(frame(spark, [])).collect() == []
+    assert [r.taken for r in run(frame(spark, [(1, None)])).collect()] == [0]
+
+
+def test_unsettled_dual_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "MAX_STEPS", 1)
+    with pytest.raises(RuntimeError):
+        source_mix.mix(documents(spark), per="document")

@@ -51,7 +51,7 @@ def op3_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix(read_table(spark, sf_dir, "documents"))
+    return source_mix.mix(read_table(spark, sf_dir, "documents"), per="document")
 
 
 @query

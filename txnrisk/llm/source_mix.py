@@ -1,13 +1,15 @@
 """Mixing sources to target weights by entropy balancing.
 
-Rates ``w`` of documents minimise the relative entropy to base rates ``q``,
-counted per token, ``sum size * (w log(w/q) - w + q)``, under one token
-constraint per source, ``sum size * w = target``, and ``w <= max_rate``.  The
-dual has one variable per source; its solution tilts the base rates
-exponentially, ``w = min(max_rate, q * exp(lambda[source]))``.  Newton steps on
-all variables at once are DataFrame aggregates over (source, base rate) cells,
-to which documents are summed once (per-token entropy gives all documents of a
-cell one rate).  Rates are then rounded into whole copies.
+Rates ``w`` of documents stay as near to base rates ``q`` as one token constraint
+per source, ``sum size * w = target``, and ``w <= max_rate`` allow: they minimise
+the relative entropy, counted per document (``sum w log(w/q) - w + q``) or per token
+(each term times the document's size).  The dual has one variable per source; its
+solution tilts the base rates exponentially, ``w = min(max_rate, q * exp(lambda * z))``,
+with ``z`` the document's size as a multiple of its source's mean (per document: few
+documents change much, long ones before short ones) or 1 (per token: all of a source
+and base rate alike).  Newton steps on all variables at once are DataFrame aggregates
+over (source, base rate, z) cells, to which documents are summed once.  Rates are then
+rounded into whole copies.
 
 Rounding: inside each (source, size class, hash bucket) cell documents are laid
 out by hash and copies are taken at whole steps of the running rate, so a cell's
@@ -17,7 +19,8 @@ less.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a
 source of its own, after all others; repeated ids are documents of their own;
-a source without words has target 0; empty tables give no rows; other columns
+a source without words has target 0; texts are counted whole; a dual that
+``MAX_STEPS`` steps don't settle is an error; empty tables give no rows; other columns
 are ignored.  Order and partitioning of the input don't matter.
 """
 
@@ -83,28 +86,30 @@ def share_targets(sources: DataFrame, weights: tuple[float, ...], total_share: f
 
 
 def solve_dual(cells: DataFrame, targets: DataFrame, max_rate: float) -> DataFrame:
-    """``(source, lam)``: the dual solution.  ``cells(source, q, size)``.
+    """``(source, lam)``: the dual solution.  ``cells(source, q, z, size)``: all words of the
+    documents with that base rate and exponent; ``targets(source, target)``.
 
-    Newton on all sources at once, each within a bracket: the solution without
-    the cap is a lower bound and the first value that caps every cell an upper
-    one; a step that leaves the bracket is replaced by its middle.  A source
-    whose target asks for ``max_rate`` everywhere has no finite solution and
-    gets +infinity, one with target 0 minus infinity."""
+    Newton on all sources at once, each within a bracket: a step that leaves it is
+    replaced by its middle.  A source whose target asks for ``max_rate`` everywhere
+    has no finite solution and gets +infinity, one with target 0 minus infinity."""
     # null-safe joins by a renamed key: a null source is a source too
-    cells = cells.withColumnRenamed("source", "_s")
+    cells = cells.filter("size > 0").withColumnRenamed("source", "_s")
     on = F.col("source").eqNullSafe(F.col("_s"))
     tot = cells.groupBy("_s").agg(F.sum("size").alias("all"), F.sum(F.col("size") * F.col("q")).alias("base"),
-                                  F.min("q").alias("least_q"))
+                                  F.min("q").alias("least_q"), F.min("z").alias("least_z"))
     limit = F.when(F.col("target") <= 0, F.lit(-math.inf)).when(
         F.col("target") >= max_rate * F.col("all"), F.lit(math.inf))
-    lo, hi = F.log(F.try_divide("target", "base")), F.log(F.lit(max_rate) / F.col("least_q"))
+    first = F.log(F.try_divide("target", "base"))
+    # below lo no rate is higher than the target's share, at hi all are capped
+    lo = F.least(first, F.lit(0.0)) / F.col("least_z")
+    hi = F.greatest(F.log(F.lit(max_rate) / F.col("least_q")), F.lit(0.0)) / F.col("least_z")
     lam = cut_lineage(targets.select("source", "target").join(tot, on).select(
-        "source", "target", lo.alias("lo"), hi.alias("hi"), F.coalesce(limit, lo).alias("lam")), "mix-dual")
+        "source", "target", lo.alias("lo"), hi.alias("hi"), F.coalesce(limit, first).alias("lam")), "mix-dual")
     for _ in range(MAX_STEPS):
-        raw = F.col("q") * F.exp("lam")
+        raw = F.col("q") * F.exp(F.col("lam") * F.col("z"))
         step = cells.join(lam, on).groupBy("source", "target", "lam", "lo", "hi").agg(
             F.sum(F.col("size") * F.least(F.lit(max_rate), raw)).alias("got"),
-            F.sum(F.when(raw < max_rate, F.col("size") * raw)).alias("slope"))
+            F.sum(F.when(raw < max_rate, F.col("size") * F.col("z") * raw)).alias("slope"))
         gap = F.col("target") - F.col("got")
         settled = F.col("lam").isin(math.inf, -math.inf) | (F.abs(gap) <= TOLERANCE * F.col("target"))
         step = step.withColumn("settled", settled).withColumn(
@@ -117,31 +122,41 @@ def solve_dual(cells: DataFrame, targets: DataFrame, max_rate: float) -> DataFra
             .when((newton > F.col("lo")) & (newton < F.col("hi")), newton)
             .otherwise((F.col("lo") + F.col("hi")) / 2).alias("lam")), "mix-dual")
         if lam.filter(~F.col("settled")).isEmpty():
-            break
-    return lam.select("source", "lam")
+            return lam.select("source", F.round("lam", 12).alias("lam"))  # sums' last bits depend on their order
+    raise RuntimeError(f"{lam.filter(~F.col('settled')).count()} sources are not settled after {MAX_STEPS} steps")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5,
         max_rate: float = 2.0, doc: str = "doc_id", text: str = "text", source: str = "source",
-        base_rate: str | None = None) -> DataFrame:
+        base_rate: str | None = None, per: str = "token") -> DataFrame:
     """``(doc_id, source, size, source_size, target, rate, copies, taken)`` for
     every document; ``taken = copies * size`` with at most ``max_rate`` copies.
     ``base_rate`` names a column of positive prior rates (1 where absent or
-    null)."""
+    null); ``per``: what entropy is counted by, ``"token"`` or ``"document"``."""
+    if per not in ("token", "document"):
+        raise ValueError(f"per must be token or document, not {per}")
     q = F.coalesce(F.col(base_rate).cast("double"), F.lit(1.0)) if base_rate else F.lit(1.0)
     rows = cut_lineage(docs.select(F.col(doc).alias("doc_id"), F.col(source).cast("string").alias("source"),
                                    word_count(F.col(text)).alias("size"), q.alias("q")), "mix-sizes")
-    cells = cut_lineage(rows.groupBy("source", "q").agg(F.sum("size").alias("size"), F.count("*").alias("n")),
+    by_size = F.col("size") if per == "document" else F.lit(1).cast("long")
+    cells = cut_lineage(rows.groupBy("source", "q", by_size.alias("z")).agg(F.sum("size").alias("size"), F.count("*").alias("n")),
                         "mix-cells")
     targets = cut_lineage(share_targets(
-        cells.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("n")),
+        cells.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("n"),
+                                    F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("n_words")),
         weights, total_share, max_rate), "mix-targets")
-    lam = solve_dual(cells, targets, max_rate)
-    t = targets.withColumnRenamed("source", "_s").withColumnRenamed("n", "s_n").join(
-        lam, F.col("source").eqNullSafe(F.col("_s"))).drop("source")
-    rated = rows.join(sized(t, materialize=True), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn(
-        "rate", F.least(F.lit(float(max_rate)), F.col("q") * F.exp("lam")))
-    return round_rates(rated.drop("lam", "q"), max_rate)
+    unit = F.col("source_size") / F.col("n_words") if per == "document" else F.lit(1.0)
+    units = targets.select(F.col("source").alias("_u"), unit.alias("unit"))
+    scaled = cells.join(sized(units), F.col("source").eqNullSafe(F.col("_u"))).select(
+        "source", "q", (F.col("z") / F.col("unit")).alias("z"), "size")
+    lam = solve_dual(cut_lineage(scaled, "mix-scaled"), targets, max_rate)
+    t = targets.withColumn("unit", unit).drop("n_words").withColumnRenamed("source", "_s").withColumnRenamed("n", "s_n").join(
+        lam, F.col("source").eqNullSafe(F.col("_s")), "left").drop("source")
+    rated = rows.join(sized(t, materialize=True), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    z = F.col("size") / F.col("unit") if per == "document" else F.lit(1.0)
+    tilt = F.when(F.col("size") > 0, F.exp(F.col("lam") * z)).otherwise(1.0)
+    rated = rated.withColumn("rate", F.least(F.lit(float(max_rate)), F.col("q") * tilt))
+    return round_rates(rated.drop("lam", "q", "unit"), max_rate)
 
 
 def round_rates(rated: DataFrame, max_rate: float) -> DataFrame:
