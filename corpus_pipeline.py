@@ -85,7 +85,7 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     new = ["size", "source_size", "target", "rate", "copies", "taken"]
     docs = docs.drop(*new)
     rows, key = _keyed(docs)
-    mixed = source_mix.mix(rows, doc=key).select(F.col("doc_id").alias(key), *new)
+    mixed = source_mix.mix(rows, doc=key, per="document").select(F.col("doc_id").alias(key), *new)
     return rows.join(sized(mixed), key).select(*docs.columns, *new)
 
 
