@@ -7,6 +7,8 @@ into the shared folder), then fits and applies its models.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,3 +169,39 @@ def eval_fitted_models(spark: SparkSession, sf: str) -> DataFrame:
     x, _ = feature_table(spark, sf)
     s = fitted_models(spark, sf).score_features(x.where(F.col("is_test")))
     return train.evaluate_members(s).drop("model_idx")
+
+
+@query("model_contracts", sql="""SELECT transaction_id, true AS if_decision, true AS ae_decision, true AS ens_mean, true AS ens_vote,
+  true AS in_range, true AS served FROM located""")
+def model_contracts(spark: SparkSession, sf: str) -> DataFrame:
+    """What ties the fitted models' columns together, row by row: decisions
+    follow their thresholds, the ensemble its members, the served result its base models."""
+    x, _ = feature_table(spark, sf)
+    fitted = fitted_models(spark, sf)
+    s = scoring.combine(fitted.score_features(x), train.BASE, policy="strict")
+    near = lambda a, b: F.abs(a - b) < 1e-9
+    probas = [f"{m}_proba" for m in train.MEMBERS]
+    return s.select(
+        ID, ((F.col("if_score") < 0).cast("int") == F.col("if_pred")).alias("if_decision"),
+        ((F.col("ae_error") > fitted.recon.threshold).cast("int") == F.col("ae_pred")).alias("ae_decision"),
+        near(F.col("ens_proba"), 0.6 * F.col("if_proba") + 0.4 * F.col("ae_proba")).alias("ens_mean"),
+        (F.col("ens_pred") == (0.6 * F.col("if_pred") + 0.4 * F.col("ae_pred") > 0.5).cast("int")).alias("ens_vote"),
+        sum((F.col(p).between(0.0, 1.0).cast("int") for p in probas), F.lit(0)).eqNullSafe(F.lit(len(probas))).alias("in_range"),
+        near(F.col("fraud_probability"), F.round(sum((F.col(p) for p in train.BASE), F.lit(0.0)) / 3, 4)).alias("served"))
+
+
+@query("model_calibration", sql=""", ranked AS (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY md5('split' || transaction_id), transaction_id) - 1 AS place,
+    count(*) OVER (PARTITION BY is_fraud) AS total FROM txn),
+kept AS (SELECT * FROM ranked WHERE NOT place < round(CAST(0.2 AS DOUBLE) * total))
+SELECT 'if' AS model, count(*) AS n_train, true AS share_flagged, true AS scale_from_training FROM kept
+UNION ALL SELECT 'ae', count(*) FILTER (is_fraud = 0), true, true FROM kept""")
+def model_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """Thresholds lie at their percentile of the training rows (3 % lowest
+    decisions, 5 % greatest errors of normal rows), and training rows span the probability scale."""
+    x, _ = feature_table(spark, sf)
+    s = fitted_models(spark, sf).score_features(_train(x))
+    both = {"if": (s, 0.03), "ae": (s.where("label = 0"), 0.05)}
+    return reduce(DataFrame.unionByName, [rows.agg(
+        F.lit(m).alias("model"), F.count(F.lit(1)).alias("n_train"),
+        (F.abs(F.sum(f"{m}_pred") - share * F.count(F.lit(1))) <= 2).alias("share_flagged"),
+        (F.max(f"{m}_proba") >= 1 - 1e-9).alias("scale_from_training")) for m, (rows, share) in both.items()])

@@ -13,9 +13,10 @@ from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnrisk.session import checkpoint_dir
+from txnrisk.session import checkpoint_dir, cut_lineage
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,17 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, corrupt: str = "_corrupt",
+                     header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(rows, rejects)``: rows that fit the schema, and the lines (column
+    ``line``) that don't -- too few or too many fields, or one of another type."""
+    with_line = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+    read = spark.read.schema(with_line).option("header", header).option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", corrupt).csv(path)
+    read = cut_lineage(read, "csv")       # parsed once for both
+    return read.where(F.col(corrupt).isNull()).drop(corrupt), read.where(F.col(corrupt).isNotNull()).select(F.col(corrupt).alias("line"))
+
+
 def save_tables(tables: dict[str, DataFrame], prefix: str, fmt: str = "csv") -> None:
     """The generator's two-table sink: ``<prefix>_<name>`` per table."""
     for name, df in tables.items():
