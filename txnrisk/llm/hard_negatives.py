@@ -120,9 +120,9 @@ class Lists:
 
 
 def threshold(lists: Lists, a: np.ndarray, candidate: np.ndarray, windows: list[tuple[float, float]], k: int,
-              step: int = STEP) -> tuple[list[np.ndarray], int]:
-    """The best ``k`` candidates in each window ``(least, greatest score)`` (more where the last ones tie),
-    as rows of the shard sorted by nothing, with all scores, and the number of rows scored."""
+              step: int = STEP) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """For each window ``(least, greatest score)`` the rows of its best ``k`` candidates, in no
+    order and with those that tie with the last, and their scores; and how many rows were read."""
     x, a = lists.exact(a)
     used = np.flatnonzero(a != 0)
     n = len(lists.ids)
@@ -159,6 +159,7 @@ def threshold(lists: Lists, a: np.ndarray, candidate: np.ndarray, windows: list[
 
 
 def _first(lists: Lists, rows: np.ndarray, scores: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
+    """``(id, score)`` of the first ``k``, by falling score, then id."""
     order = sorted(zip((-int(s) for s in scores), lists.ids[rows].tolist()))[:k]
     return ((i, -s) for s, i in order)
 

@@ -94,9 +94,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
         sized(again), ["page_id", "digest"], "left").withColumn(
         "payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
     count = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / CHUNK_BYTES)).cast("int")
-    rows = rows.select("page_id", "uri", "digest", "n", "refers_to", F.posexplode(F.transform(
-        F.sequence(F.lit(0), count - 1), lambda i: F.substring(
-            F.col("payload"), i * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES)))).alias("chunk_no", "chunk"))
+    # numbers first, then each row cuts its own chunk: never all chunks of a payload at once
+    rows = rows.select("page_id", "uri", "digest", "n", "refers_to", "payload", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk_no"))
+    rows = rows.withColumn("chunk", F.substring("payload", F.col("chunk_no") * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES))).drop("payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
