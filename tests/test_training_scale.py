@@ -1,5 +1,6 @@
 """Training at size: rows of a task, the walk through the trees, fits of a cross-validation."""
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -93,3 +94,31 @@ def test_cross_validation_fits_each_model_once_a_fold(rows):
     cv = train.cross_validate(rows, COLS, models={"ae": (Counting(inputCols=COLS, k=1), "ae_proba", "ae_pred")}).collect()
     assert [n for n, _ in fits] == [480] * 5 and [{0, 1, 2, 3, 4} - f for _, f in fits] == [{f} for f in range(5)]
     assert sorted(r.fold for r in cv) == list(range(5)) and all(r.n == 120 and r.n_fraud == 6 for r in cv)
+
+
+def test_submitted_rounds_are_built_once(spark, monkeypatch, tmp_path):
+    """Each round read and joined all events again."""
+    from txnrisk.plans import catalog_detect as cd
+    read, sent = [], []
+
+    class Stub:
+        inbox = None
+
+        def __init__(self, *_, **__):
+            pass
+
+        def drain(self):
+            pass
+
+    monkeypatch.setattr(cd.det, "Detector", Stub)
+    monkeypatch.setattr(cd.det, "submit_lines", lambda lines, _: (read.extend(lines.inputFiles()), sent.extend(r.line for r in lines.collect())))
+    monkeypatch.setattr(cd, "_DRAINED", {})
+    sf = str(tmp_path)
+    day = dt.datetime(2024, 1, 1)
+    events = [(i, day + dt.timedelta(hours=i), i % 9, "click", float(i), f'{{"k": {i % 100}}}') for i in range(400)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") \
+         .write.parquet(f"{sf}/events.parquet")
+    spark.createDataFrame([(i, float(i)) for i in range(7)], "c_custkey long, c_acctbal double").write.parquet(f"{sf}/customer.parquet")
+    cd.drained(spark, sf)
+    assert read and not any("events.parquet" in f for f in read)
+    assert sorted(sent) == sorted(r.line for r in cd.submissions(spark, sf).select("line").collect())

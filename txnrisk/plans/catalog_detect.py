@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from txnrisk.operators import dashboard
 from txnrisk.plans.registry import query
+from txnrisk.session import cut_lineage
 from txnrisk.sources import fixtures
 from txnrisk.sources.tables import read_table, table_path
 from txnrisk.streaming import detector as det
@@ -46,7 +47,7 @@ def drained(spark: SparkSession, sf: str) -> det.Detector:
     key = (spark.sparkContext.applicationId, sf, changed)
     if key not in _DRAINED:
         d = det.Detector(spark, sp.stream_dir(spark, "detector"), fixtures.customer_profile(spark, sf), delay=DELAY)
-        lines = submissions(spark, sf)
+        lines = cut_lineage(submissions(spark, sf), "submissions")      # joined once, not in every round
         for r in range(ROUNDS):
             det.submit_lines(lines.where(F.col("round") == r).select("line"), d.inbox)
             with sp.state_partitions(spark):
