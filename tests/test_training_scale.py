@@ -96,6 +96,39 @@ def test_cross_validation_fits_each_model_once_a_fold(rows):
     assert sorted(r.fold for r in cv) == list(range(5)) and all(r.n == 120 and r.n_fraud == 6 for r in cv)
 
 
+def test_cross_validation_deals_rows_once_and_writes_scores_of_one_model_at_a_time(rows, monkeypatch):
+    """All folds' scores came from one job, whose every task held the fitted models of all folds."""
+    written, dealt, cut, deal = [], [], train.cut_lineage, train.spread
+
+    def kept(df, name="stage"):
+        out = cut(df, name)
+        if name == "cv-scores":
+            written.append({r.model for r in out.select("model").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(train, "cut_lineage", kept)
+    monkeypatch.setattr(train, "spread", lambda df, n: dealt.append(n) or deal(df, n))
+    models = {m: (ReconstructionEstimator(inputCols=COLS, k=k, prefix=m), f"{m}_proba", f"{m}_pred") for k, m in ((1, "p"), (2, "q"))}
+    cv = {(r.model, r.fold): r.n for r in train.cross_validate(rows, COLS, models=models).collect()}
+    assert sorted(map(sorted, written)) == sorted([f"{m}/{f}"] for m in models for f in range(5)) and len(dealt) == 1
+    assert cv == {(m, f): 120 for m in models for f in range(5)}
+
+
+def test_rows_are_dealt_in_whole_rounds_of_the_cores(spark, rows):
+    cores = spark.sparkContext.defaultParallelism
+    n = spread(rows, 600 // (cores + 1)).rdd.getNumPartitions()
+    assert n > cores and n % cores == 0
+
+
+def test_walk_tables_fill_the_trees_up():
+    """Tree 0: a split with a leaf to its left and a split to its right; tree 1: a leaf."""
+    feature, threshold = np.array([[1, -1, 0, -1, -1], [-1] * 5]), np.array([[0.5, 0, 2.0, 0, 0], [0.0] * 5])
+    left, right = np.array([[1, 0, 3, 0, 0], [0] * 5]), np.array([[2, 0, 4, 0, 0], [0] * 5])
+    features, thresholds, leaf = walk_tables(feature, threshold, left, right)
+    assert features.tolist() == [[1, 0, 0], [0, 0, 0]] and thresholds.tolist() == [[0.5, 2.0, np.inf], [np.inf] * 3]
+    assert leaf.tolist() == [[4, 3, 1, 1], [0] * 4]
+
+
 def test_submitted_rounds_are_built_once(spark, monkeypatch, tmp_path):
     """Each round read and joined all events again."""
     from txnrisk.plans import catalog_detect as cd
